@@ -73,11 +73,17 @@ ABSENT_SPEC = "<not provided>"
 PAYLOAD_PATTERN = r"^[A-Za-z0-9+/=]+\z"
 ATTR_NAMES = ("src", "data-src", "data-original", "href", "content")
 
-# White space as Python's str.split()/str.strip() see it.  Java's \s is ASCII
-# only and (?U)\s misses U+001C..U+001F, hence an explicit class.
-SPACE_CHARS = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-# White space as JavaScript's String.prototype.trim() sees it.
-JS_SPACE_CHARS = r"\t-\r\x20\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+# White space, as code points.  Python's str.split()/str.strip() and JavaScript's
+# String.prototype.trim() differ in a few; Spark's own trim knows the blank only,
+# and Java's \s is ASCII only.
+PYTHON_SPACE = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+              0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
+JAVASCRIPT_SPACE = "".join(
+    map(chr, [*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B),
+              0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])
+)
 
 # --- contract of the structured replies -------------------------------------
 ROUTING_FIELDS = {"category": CATEGORIES, "reason": str}

@@ -10,7 +10,7 @@ from ..constants import MAX_PAYLOAD_CHARS, PAYLOAD_PATTERN
 
 def base64_line(content: Column) -> Column:
     """Base64 as one unbroken line (Spark breaks the line every 76 characters)."""
-    return F.translate(F.base64(content), "\r\n", "")
+    return F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))
 
 
 def data_url(mime: Column, payload: Column) -> Column:

@@ -7,40 +7,42 @@ from pyspark.sql import functions as F
 
 from ..constants import (
     ERROR_BODY_CHARS,
-    JS_SPACE_CHARS,
+    JAVASCRIPT_SPACE,
     NAME_OVERLAP,
     NAME_SEPARATOR,
-    SPACE_CHARS,
+    PYTHON_SPACE,
 )
 
-_SPACE = f"[{SPACE_CHARS}]"
-_NON_BLANK_SPACE = f"[{SPACE_CHARS}&&[^ ]]"
-# The look-behind lets a trailing run match from its first character only, so a
-# long run of white space in the middle of a text costs linear time.
-_STRIP = rf"\A{_SPACE}++|(?<!{_SPACE}){_SPACE}++\z"
-# Runs that are not already one plain space.
-_RUN = f"{_NON_BLANK_SPACE}{_SPACE}*+| {_SPACE}++"
+# Every white space character but the blank, and the two joiners, become a blank.
+_TO_BLANK = "-_" + PYTHON_SPACE.replace(" ", "")
 
 
 def strip(text: Column) -> Column:
     """Trim every Unicode white space character from both ends."""
-    return F.regexp_replace(text, _STRIP, "")
+    return F.btrim(text, F.lit(PYTHON_SPACE))
 
 
 def is_blank_js(text: Column) -> Column:
     """Null, empty, or nothing but JavaScript white space."""
-    return text.isNull() | text.rlike(rf"\A[{JS_SPACE_CHARS}]*+\z")
+    return text.isNull() | (F.btrim(text, F.lit(JAVASCRIPT_SPACE)) == "")
+
+
+def tokens(value: Column) -> Column:
+    """Tokens of the lower-cased text in order; ``-`` and ``_`` separate, ``×`` reads as ``x``."""
+    plain = F.translate(
+        F.lower(F.coalesce(value, F.lit(""))), _TO_BLANK + "×", " " * len(_TO_BLANK) + "x"
+    )
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def norm(value: Column) -> Column:
     """Lower case, ``-`` and ``_`` to space, ``×`` to ``x``, white space collapsed."""
-    plain = F.translate(F.lower(F.coalesce(value, F.lit(""))), "-_×", "  x")
-    return F.trim(F.regexp_replace(plain, _RUN, " "))
+    return F.array_join(tokens(value), " ")
 
 
 def token_set(value: Column) -> Column:
     """Distinct tokens of the normalised text; empty array for an empty text."""
-    return F.array_distinct(F.array_remove(F.split(norm(value), " "), ""))
+    return F.array_distinct(tokens(value))
 
 
 def token_intersection(left: Column, right: Column) -> Column:

@@ -15,14 +15,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from ..constants import ATTR_NAMES, IMAGE_EXTENSIONS, SPACE_CHARS
+from ..constants import ATTR_NAMES, IMAGE_EXTENSIONS, PYTHON_SPACE
 from .text import strip
 
+_SPACE = "".join(rf"\x{{{ord(c):x}}}" for c in PYTHON_SPACE)
+
 # What counts as a link in a page.
 _ATTR_PATTERN = (
-    r"(?iu)(?:" + "|".join(ATTR_NAMES) + rf")[{SPACE_CHARS}]*=[{SPACE_CHARS}]*[\"']([^\"']+)[\"']"
+    r"(?iu)(?:" + "|".join(ATTR_NAMES) + rf")[{_SPACE}]*=[{_SPACE}]*[\"']([^\"']+)[\"']"
 )
-_BARE_PATTERN = rf"(?iu)https?://[^\"'<>{SPACE_CHARS}]+"
+_BARE_PATTERN = rf"(?iu)https?://[^\"'<>{_SPACE}]+"
 _OG_PROPERTY_FIRST = (
     rf"(?iu)<meta[^>]+property=[\"']og:image[\"'][^>]+content=[\"']([^\"']+)[\"']"
 )

@@ -9,6 +9,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MODULES = (
     "text_queries",
+    "label_queries",
+    "evaluation_queries",
+    "comparison_queries",
+    "page_queries",
+    "stream_queries",
 )
 
 
