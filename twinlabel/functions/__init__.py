@@ -19,7 +19,7 @@ from .images import (  # noqa: F401
     page_acceptance,
     target_size,
 )
-from .nested import explode_items, nonempty, spec_or_empty, spec_side_by_side  # noqa: F401
+from .nested import nonempty, spec_or_empty, spec_side_by_side  # noqa: F401
 from .prompts import call_key, render_prompt, request_body, result_payload  # noqa: F401
 from .replies import (  # noqa: F401
     all_output_text,

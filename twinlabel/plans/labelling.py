@@ -88,12 +88,14 @@ def read_stored_replies(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def answer_calls(calls: DataFrame, factories: Mapping[str, ClientFactory], stage: int,
-                 path: str, max_clients: int | None = None) -> DataFrame:
+def answer_calls(calls: DataFrame, payloads: DataFrame, factories: Mapping[str, ClientFactory],
+                 stage: int, path: str, max_clients: int | None = None) -> DataFrame:
     """Make the calls ``path`` has no success for, append them, return all replies.
 
-    Equal calls are made once.  Which rows to send is settled on narrow
-    (key, id) rows; payloads are fetched for the chosen ids only.
+    ``calls``: request_id, call_key, provider, model, prompt; ``payloads``:
+    request_id, image, mime.  Equal calls are made once.  Which rows to send is
+    settled on narrow rows; payloads are shuffled once, by their unique id, into
+    as many tasks as there may be clients.
     """
     spark = calls.sparkSession
     pending = calls.select("call_key", "request_id")
@@ -101,12 +103,12 @@ def answer_calls(calls: DataFrame, factories: Mapping[str, ClientFactory], stage
         done = spark.read.schema(STORED_REPLY).parquet(path).where("reply_text is not null")
         pending = pending.join(done.select("call_key"), "call_key", "left_anti")
     chosen = pending.groupBy("call_key").agg(F.min("request_id").alias("request_id"))
-    # One shuffle of payloads, by the unique id; its width caps the parallel clients.
+    narrow = calls.join(chosen.select("request_id"), "request_id", "left_semi")
     width = max_clients or int(spark.conf.get("spark.sql.shuffle.partitions"))
     to_send = (
-        calls.repartition(width, "request_id")
-        .join(chosen.select("request_id").repartition(width, "request_id"),
-              "request_id", "left_semi")
+        payloads.select("request_id", "image", "mime")
+        .repartition(width, "request_id")
+        .join(narrow.repartition(width, "request_id"), "request_id")
     )
     call_clients(to_send, factories, stage).write.mode("append").parquet(path)
     return read_stored_replies(spark, path)
@@ -147,6 +149,12 @@ def build_model_requests(requests: DataFrame, stage: int, prompt: Column) -> Dat
     )
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    """Cut the lineage with a table in the shared work folder."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _parsed(replied: DataFrame, guard: Callable[[Column], Column], prefix: str) -> DataFrame:
     """Parse the reply and say why it is not usable, if it is not."""
     status = (
@@ -178,19 +186,26 @@ def label_two_stage(requests: DataFrame, packs: DataFrame, core: DataFrame,
     ``requests``: request_id (unique), image_id, provider, image, mime, ts.
     ``packs``: category, text.  ``core``: one row, text.  ``factories``:
     provider -> client factory; a provider without one is not configured.
-    ``work``: folder for the reply tables of both stages.
+    ``work``: folder for the tables between the steps; calls that succeeded in
+    an earlier run over the same folder are not made again.
 
-    A row failing at one step never enters the next.  Payloads travel only from
-    the request table to the client; every join below is on narrow rows.
+    A row failing at one step never enters the next.  Payloads are read three
+    times, to check and hash them and for each stage's calls, and never pass
+    through any other join; all other steps run on narrow written tables.
     """
-    prepared = prepare_requests(requests, factories)
-    ready = prepared.where("payload_ok and provider_ready")
-    narrow = ["request_id", "image_id", "provider", "model", "ts"]
-
-    first = with_call(ready, 1, render_prompt(templates[1]))
-    replies_1 = answer_calls(first, factories, 1, f"{work}/stage=1", max_clients)
-    routed = (
-        first.select("request_id", "call_key")
+    facts = _written(
+        prepare_requests(requests, factories).select(
+            "request_id", "image_id", "provider", "model", "ts", "image_hash", "payload_ok",
+            "provider_ready",
+        ),
+        f"{work}/requests",
+    )
+    is_ready = F.col("payload_ok") & F.col("provider_ready")
+
+    first = with_call(facts.where(is_ready), 1, render_prompt(templates[1]))
+    replies_1 = answer_calls(first, requests, factories, 1, f"{work}/stage=1", max_clients)
+    routed = _written(
+        first.drop("prompt")
         .join(replies_1, "call_key", "left")
         .transform(_parsed, guard_routing, "routing")
         .withColumns(
@@ -199,40 +214,41 @@ def label_two_stage(requests: DataFrame, packs: DataFrame, core: DataFrame,
                 "reason": field(F.col("routing_value"), "$.reason", "string"),
             }
         )
-        .drop("call_key", "routing_value")
+        .drop("call_key", "routing_value"),
+        f"{work}/routed",
     )
 
-    with_reference = (
+    referenced = (
         routed.where("routing_status = 'ok'")
         .transform(attach_category_pack, packs)
         .transform(attach_core_pack, core)
-        .where(F.col("pack").isNotNull() & F.col("core").isNotNull())
     )
+    has_reference = F.col("pack").isNotNull() & F.col("core").isNotNull()
     second = with_call(
-        ready.select(*narrow, "image", "mime", "image_hash").join(
-            with_reference.select("request_id", "category", "reason", "pack", "core"), "request_id"
-        ),
+        referenced.where(has_reference),
         2,
         render_prompt(templates[2], category=F.col("category"), reason=F.col("reason"),
                       core=F.col("core"), pack=F.col("pack")),
-    )
-    replies_2 = answer_calls(second, factories, 2, f"{work}/stage=2", max_clients)
+    ).drop("pack", "core")
+    replies_2 = answer_calls(second, requests, factories, 2, f"{work}/stage=2", max_clients)
     described = (
-        second.select("request_id", "call_key")
+        second.drop("prompt")
         .join(replies_2, "call_key", "left")
         .transform(_parsed, guard_identification, "identification")
         .drop("call_key")
     )
 
-    joined = (
-        prepared.select(*narrow, "payload_ok", "provider_ready")
-        .join(routed, "request_id", "left")
-        .join(described, "request_id", "left")
+    everything = (
+        described.unionByName(facts.where(~is_ready), allowMissingColumns=True)
+        .unionByName(routed.where("routing_status <> 'ok'"), allowMissingColumns=True)
+        .unionByName(
+            referenced.where(~has_reference).drop("pack", "core"), allowMissingColumns=True
+        )
     )
     ok = F.col("status") == 200
     value = F.col("identification_value")
     routing = F.struct("category", "reason")
-    return joined.withColumn(
+    return everything.withColumn(
         "status",
         request_status(
             F.col("payload_ok"), F.col("provider_ready"),
@@ -240,7 +256,7 @@ def label_two_stage(requests: DataFrame, packs: DataFrame, core: DataFrame,
             identification_ok=F.col("identification_status") == "ok",
         ),
     ).select(
-        *narrow,
+        "request_id", "image_id", "provider", "model", "ts",
         "status",
         F.when(F.col("status") == 400, "bad_payload")
         .when(F.col("status") == 503, "provider_not_configured")

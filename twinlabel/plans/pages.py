@@ -19,34 +19,33 @@ from ..functions.urls import (
     raw_candidates,
 )
 from ..operators.folds import distinct_candidates
+from ..operators.nested import pin
 
 
 def page_links(pages: DataFrame, html: str = "html", base: str = "url") -> DataFrame:
     """Add ``links`` (every link resolved, in order, null where it cannot be) and ``og``."""
-    text = pages.withColumn("_text", page_text(F.col(html)))
-    found = text.withColumns(
-        {"_raw": raw_candidates(F.col("_text")), "_og": html_unescape(og_image(F.col("_text")))}
-    ).drop("_text")
+    found = pages.transform(pin, _text=page_text(F.col(html))).transform(
+        pin, _raw=raw_candidates(F.col("_text")), _og=og_image(F.col("_text"))
+    )
     # The preview image rides along as the last element: one resolution per page.
-    resolved = found.withColumn(
-        "_all", absolutise_all(F.col(base), F.concat("_raw", F.array("_og")))
+    wanted = F.concat("_raw", F.array(html_unescape(F.col("_og"))))
+    resolved = found.transform(pin, _wanted=wanted).transform(
+        pin, _all=absolutise_all(F.col(base), F.col("_wanted"))
     )
     return resolved.withColumns(
         {
             "links": F.slice("_all", F.lit(1), F.size("_raw")),
             "og": F.when(F.col("_og").isNotNull(), F.element_at("_all", -1)),
         }
-    ).drop("_raw", "_og", "_all")
+    ).drop("_text", "_raw", "_og", "_wanted", "_all")
 
 
 def page_candidates(pages: DataFrame, extensions=IMAGE_EXTENSIONS, html: str = "html",
                     base: str = "url") -> DataFrame:
     """Add ``candidates``: image links of the page, first occurrences in order."""
-    return page_links(pages, html, base).withColumn(
-        "candidates",
-        distinct_candidates(
-            image_url_filter(F.filter("links", lambda u: u.isNotNull()), extensions)
-        ),
+    known = F.filter("links", lambda u: u.isNotNull())
+    return page_links(pages, html, base).transform(
+        pin, candidates=distinct_candidates(image_url_filter(known, extensions))
     )
 
 

@@ -8,7 +8,6 @@ from twinlabel.functions import image_acceptance as acceptance
 from twinlabel.functions import spec_side_by_side as side_by_side
 from twinlabel.functions import target_size as scaled
 from twinlabel.functions.images import final_format, final_mime, needs_conversion
-from twinlabel.functions.nested import explode_items
 from twinlabel.functions.text import join_names, media_type
 from twinlabel.operators import folds
 from twinlabel.operators.gates import failed_rows
@@ -21,6 +20,7 @@ from twinlabel.operators.joins import (
     spec_join as join_specs,
     unprepared_rows,
 )
+from twinlabel.operators.nested import explode_items
 from twinlabel.operators.reports import merge_failed_and_prepared, unify_datasets
 from twinlabel.plans.evaluation import evaluate_gated, evaluate_isolated
 

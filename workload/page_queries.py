@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from twinlabel import functions as T
+from twinlabel.operators.nested import explode_items
 from twinlabel.plans.pages import page_candidates as candidates_of
 from twinlabel.plans.pages import resolve_page_images
 
@@ -59,7 +60,8 @@ def page_candidates(spark, sf_dir):
     """Every link with a path, resolved, first occurrences in page order."""
     return (
         candidates_of(table(spark, sf_dir, "pages"), ANY_PATH)
-        .select("page_id", F.posexplode("candidates").alias("pos", "link"))
+        .transform(explode_items, "candidates", "page_id", value="link")
+        .withColumnRenamed("index", "pos")
     )
 
 
