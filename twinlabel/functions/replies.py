@@ -12,8 +12,16 @@ from .text import is_blank_js
 
 
 def parse_json(text: Column) -> Column:
-    """VARIANT, or null when the text is not JSON."""
-    return F.try_parse_json(text)
+    """VARIANT, or null when the text as a whole is not one JSON value.
+
+    Spark's own parser stops after the first value and accepts whatever
+    follows.  So the text is parsed as the first of two list items, the second
+    being its hash: the hash is reached only if nothing else follows.
+    """
+    mark = F.md5(text)
+    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
+    whole = (field(pair, "$[1]", "string") == mark) & field(pair, "$[2]").isNull()
+    return F.when(whole, field(pair, "$[0]"))
 
 
 def parse_status(text: Column, value: Column) -> Column:

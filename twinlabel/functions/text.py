@@ -77,8 +77,16 @@ def truncate_text(text: Column, chars: int) -> Column:
 
 def strip_code_fence(text: Column) -> Column:
     """Trimmed text without a leading ``` or ```json fence and a trailing fence."""
-    opened = F.regexp_replace(strip(text), r"\A```(?:json)?", "")
-    return strip(F.regexp_replace(opened, r"```\z", ""))
+    plain = strip(text)
+    opened = (
+        F.when(F.startswith(plain, F.lit("```json")), F.substr(plain, F.lit(8)))
+        .when(F.startswith(plain, F.lit("```")), F.substr(plain, F.lit(4)))
+        .otherwise(plain)
+    )
+    closed = F.when(
+        F.endswith(opened, F.lit("```")), F.left(opened, F.length(opened) - 3)
+    ).otherwise(opened)
+    return strip(closed)
 
 
 def join_names(names: Column, separator: str = NAME_SEPARATOR) -> Column:

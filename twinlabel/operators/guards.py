@@ -12,7 +12,7 @@ from ..constants import (
     IDENTIFICATION_FIELDS,
     ROUTING_FIELDS,
 )
-from ..functions.replies import field, is_array, is_object, is_string
+from ..functions.replies import field, is_object, is_string
 
 
 def is_category(value: Column, categories=CATEGORIES) -> Column:
@@ -40,17 +40,14 @@ def guard_identification(reply: Column) -> Column:
     return ok
 
 
-def _rule_breaks(value: Column, rule) -> Column:
-    """Whether a present value breaks its rule."""
-    if rule is str:
-        return ~is_string(value)
-    if isinstance(rule, tuple):
+def _wrong_type(value: Column, rule) -> Column:
+    """Whether a present value has another type than its rule asks for."""
+    if not isinstance(rule, list):
         return ~is_string(value)
     items = F.try_variant_get(value, "$", "array<variant>")
-    inner = rule[0]
-    if inner is str:
-        return ~is_array(value) | F.coalesce(F.exists(items, lambda i: ~is_string(i)), F.lit(False))
-    return ~is_array(value)
+    if rule[0] is str:
+        return F.coalesce(F.exists(items, lambda i: ~is_string(i)), F.lit(True))
+    return items.isNull()
 
 
 def _closed_object_breaks(item: Column, rules: dict) -> Column:
@@ -79,7 +76,7 @@ def schema_violations(reply: Column, rules: dict = IDENTIFICATION_FIELDS) -> Col
     for name, rule in rules.items():
         value = field(reply, f"$.{name}")
         code = F.when(value.isNull(), F.lit(f"missing:{name}")).when(
-            _rule_breaks(value, rule), F.lit(f"type:{name}")
+            _wrong_type(value, rule), F.lit(f"type:{name}")
         )
         if isinstance(rule, tuple):
             code = code.when(~is_category(value.cast("string"), rule), F.lit(f"enum:{name}"))

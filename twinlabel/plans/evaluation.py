@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import ABSENT_SPEC, ERROR_BODY_CHARS
-from ..functions.nested import spec_side_by_side
+from ..functions.nested import spec_or_empty, spec_side_by_side
 from ..functions.replies import (
     all_output_text,
     answer_or_empty,
@@ -22,8 +22,9 @@ from ..functions.replies import (
 )
 from ..functions.text import (
     category_match,
-    item_name_match,
     strip_code_fence,
+    token_overlap_match,
+    token_set,
     truncate_text,
     upstream_error,
 )
@@ -68,70 +69,74 @@ def read_reply(replies: DataFrame) -> DataFrame:
     )
 
 
-def _text_field(answer: Column, name: str) -> Column:
-    return python_text(F.try_element_at(answer, F.lit(name)))
+def _given(answer: Column, name: str) -> Column:
+    return F.try_element_at(answer, F.lit(name))
 
 
-def _specs(answer: Column) -> Column:
-    return F.try_element_at(answer, F.lit("specifications"))
-
-
-def compare_isolated(gt: Column, response: Column) -> tuple[Column, Column]:
-    """Result struct and error (null when the comparison works)."""
-    answer = answer_or_empty(response, null_is_empty=False)
-    specs = _specs(answer)
-    given = field(specs, "$", "map<string,variant>")
-    empty = F.create_map().cast("map<string,variant>")
-    expected = F.coalesce(gt["specifications"], F.create_map().cast("map<string,string>"))
+def compare_isolated(df: DataFrame, gt: str = "ground_truth", response: str = "ai_response",
+                     ) -> DataFrame:
+    """Add ``result`` and ``compare_error``, which is null when the comparison works."""
+    df = df.withColumn("_answer", answer_or_empty(F.col(response), null_is_empty=False))
+    answer, truth = F.col("_answer"), F.col(gt)
+    df = df.withColumns(
+        {
+            "_category": python_text(_given(answer, "category")),
+            "_name": token_set(python_text(_given(answer, "item_name"))),
+            "_truth_name": token_set(truth["item_name"]),
+            "_specs": field(_given(answer, "specifications"), "$", "map<string,variant>"),
+            "_specs_text": python_text(_given(answer, "specifications")),
+        }
+    )
+    expected = spec_or_empty(truth["specifications"])
     # Specifications that are not an object fail only when a field is looked up in them.
-    unusable = (F.size(expected) > 0) & given.isNull() & (python_text(specs) != "")
+    unusable = (F.size(expected) > 0) & F.col("_specs").isNull() & (F.col("_specs_text") != "")
     error = (
-        F.when(~is_object(response), "bad_reply: not an object")
+        F.when(~is_object(F.col(response)), "bad_reply: not an object")
         .when(answer.isNull(), "bad_reply: answer is not an object")
-        .when(gt["category"].isNull(), "ground_truth: no category")
-        .when(gt["item_name"].isNull(), "ground_truth: no item_name")
+        .when(truth["category"].isNull(), "ground_truth: no category")
+        .when(truth["item_name"].isNull(), "ground_truth: no item_name")
         .when(unusable, "bad_reply: specifications is not an object")
     )
+    given = F.coalesce("_specs", F.create_map().cast("map<string,variant>"))
+    absent = F.parse_json(F.lit(f'"{ABSENT_SPEC}"'))
     result = F.struct(
-        category_match(gt["category"], _text_field(answer, "category")).alias("category_match"),
-        item_name_match(gt["item_name"], _text_field(answer, "item_name")).alias("item_name_match"),
-        spec_side_by_side(
-            expected, F.coalesce(given, empty), F.parse_json(F.lit(f'"{ABSENT_SPEC}"'))
-        ).alias("specifications"),
+        category_match(truth["category"], F.col("_category")).alias("category_match"),
+        token_overlap_match(F.col("_truth_name"), F.col("_name")).alias("item_name_match"),
+        spec_side_by_side(expected, given, absent).alias("specifications"),
         F.lit(NOTE_ISOLATED).alias("note"),
     )
-    return result, error
+    return df.withColumns({"result": result, "compare_error": error}).drop(
+        "_answer", "_category", "_name", "_truth_name", "_specs", "_specs_text"
+    )
 
 
-def compare_gated(gt: Column, response: Column) -> tuple[Column, Column]:
-    """Result struct and error; values are carried side by side without a name verdict."""
-    answer = answer_or_empty(response, null_is_empty=True)
+def compare_gated(df: DataFrame, gt: str = "ground_truth", response: str = "ai_response",
+                  ) -> DataFrame:
+    """Like ``compare_isolated``; values are carried side by side without a name verdict."""
+    df = df.withColumn("_answer", answer_or_empty(F.col(response), null_is_empty=True))
+    answer, truth = F.col("_answer"), F.col(gt)
     error = (
-        F.when(~is_object(response), "bad_reply: not an object")
+        F.when(~is_object(F.col(response)), "bad_reply: not an object")
         .when(answer.isNull(), "bad_reply: answer is not an object")
-        .when(gt["category"].isNull(), "ground_truth: no category")
-        .when(gt["taiwan_purchase_name"].isNull(), "ground_truth: no purchase name")
+        .when(truth["category"].isNull(), "ground_truth: no category")
+        .when(truth["taiwan_purchase_name"].isNull(), "ground_truth: no purchase name")
     )
-
-    def given(name: str) -> Column:
-        return F.try_element_at(answer, F.lit(name))
-
     result = F.struct(
-        category_match(gt["category"], _text_field(answer, "category"))
+        category_match(truth["category"], python_text(_given(answer, "category")))
         .alias("category_match_strict"),
-        gt["taiwan_purchase_name"].alias("ground_truth_purchase_name"),
-        F.coalesce(gt["accepted_names_zh_tw"], F.array().cast("array<string>"))
+        truth["taiwan_purchase_name"].alias("ground_truth_purchase_name"),
+        F.coalesce(truth["accepted_names_zh_tw"], F.array().cast("array<string>"))
         .alias("accepted_ground_truth_names"),
-        given("item_name_zh_tw").alias("ai_purchase_name"),
-        F.coalesce(gt["specifications"], F.create_map().cast("map<string,string>"))
-        .alias("ground_truth_specifications"),
-        F.coalesce(given("specifications"), F.parse_json(F.lit("{}"))).alias("ai_specifications"),
-        given("purchase_phrase_zh_tw").alias("ai_purchase_phrase"),
-        F.coalesce(given("missing_purchase_info"), F.parse_json(F.lit("[]")))
+        _given(answer, "item_name_zh_tw").alias("ai_purchase_name"),
+        spec_or_empty(truth["specifications"]).alias("ground_truth_specifications"),
+        F.coalesce(_given(answer, "specifications"), F.parse_json(F.lit("{}")))
+        .alias("ai_specifications"),
+        _given(answer, "purchase_phrase_zh_tw").alias("ai_purchase_phrase"),
+        F.coalesce(_given(answer, "missing_purchase_info"), F.parse_json(F.lit("[]")))
         .alias("ai_missing_purchase_info"),
         F.lit(NOTE_GATED).alias("note"),
     )
-    return result, error
+    return df.withColumns({"result": result, "compare_error": error}).drop("_answer")
 
 
 def _checked(images: DataFrame) -> DataFrame:
@@ -152,29 +157,28 @@ def _validation(column: Column, failed_status: str, fields: list[str]) -> Column
     return F.struct(*parts)
 
 
-def _with_result(df: DataFrame, open_gate: Column, skipped: Column, compare) -> DataFrame:
+def _with_result(df: DataFrame, open_gate: Column, skipped: str, compare) -> DataFrame:
     """Add api_status, ai_response, result and api_error.
 
     ``ai_response`` stays when the comparison after a good reply fails.
     """
-    response = F.col("_reply.ai_response")
-    result, compare_error = compare(F.col("ground_truth"), response)
+    compared = (
+        df.withColumn("_open", open_gate)
+        .withColumn("ai_response", F.when(F.col("_open"), F.col("_reply.ai_response")))
+        .transform(compare)
+    )
+    error = F.when(F.col("_reply").isNull(), F.lit("no_reply: none landed")).otherwise(
+        F.coalesce("_reply.api_error", "compare_error")
+    )
     return (
-        df.withColumn(
-            "api_error",
-            F.when(
-                open_gate,
-                F.when(F.col("_reply").isNull(), F.lit("no_reply: none landed"))
-                .otherwise(F.coalesce(F.col("_reply.api_error"), compare_error)),
-            ),
-        )
+        compared.withColumn("api_error", F.when(F.col("_open"), error))
         .withColumn(
             "api_status",
-            F.when(~open_gate, skipped).when(F.col("api_error").isNull(), "ok").otherwise("failed"),
+            F.when(~F.col("_open"), skipped).when(F.col("api_error").isNull(), "ok")
+            .otherwise("failed"),
         )
-        .withColumn("ai_response", F.when(open_gate, response))
-        .withColumn("result", F.when(F.col("api_status") == "ok", result))
-        .drop("_reply")
+        .withColumn("result", F.when(F.col("api_status") == "ok", F.col("result")))
+        .drop("_reply", "_open", "compare_error")
     )
 
 
@@ -201,7 +205,7 @@ def evaluate_isolated(cases: DataFrame, images: DataFrame, replies: DataFrame) -
         ),
     ).drop("validation")
     passed = F.col("image.validation.status") == "ok"
-    return _with_result(checked, passed, F.lit("skipped"), compare_isolated)
+    return _with_result(checked, passed, "skipped", compare_isolated)
 
 
 def evaluate_gated(cases: DataFrame, images: DataFrame, replies: DataFrame) -> DataFrame:
@@ -226,8 +230,8 @@ def evaluate_gated(cases: DataFrame, images: DataFrame, replies: DataFrame) -> D
         ),
     ).drop("validation").withColumn("gate_open", gate)
     return _with_result(
-        checked, F.col("gate_open"), F.lit("skipped_global_preflight"), compare_gated
-    )
+        checked, F.col("gate_open"), "skipped_global_preflight", compare_gated
+    ).drop("gate_open")
 
 
 def report_header(header: DataFrame, report: DataFrame, model: str, gated: bool) -> DataFrame:

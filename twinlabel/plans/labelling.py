@@ -272,7 +272,7 @@ def label_two_stage(requests: DataFrame, packs: DataFrame, core: DataFrame,
         F.when(
             ok,
             envelope(F.col("provider"), F.col("model"), routing,
-                     F.from_json(F.to_json(value), IDENTIFICATION)),
+                     F.try_variant_get(value, "$", IDENTIFICATION)),
         ).alias("response"),
         F.when(ok, result_payload(F.col("provider"), F.col("model"), F.col("category"), value))
         .alias("payload"),
