@@ -118,7 +118,9 @@ def url_path_lower(url: Column) -> Column:
     """Lower-cased path: no scheme, host, query or fragment, no ``;`` parameters on its end."""
     url = F.translate(url, "\t\r\n", "")
     path = F.regexp_extract(url, r"\A(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
-    has_params = url.rlike(r"(?i)\A(?:https?:|[^:/?#]*(?:[/?#]|\z))")
+    has_params = url.rlike(
+        r"(?i)\A(?:(?:https?|ftp|sftp|shttp|hdl|prospero|rtsps?|sips?|mms|tel):|[^:/?#]*(?:[/?#]|\z))"
+    )
     return F.lower(F.when(has_params, F.regexp_replace(path, r";[^/]*\z", "")).otherwise(path))
 
 

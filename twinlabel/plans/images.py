@@ -22,13 +22,14 @@ def image_preflight(files: DataFrame, manifest: DataFrame | None = None,
     """Accept or reject each file and describe it.
 
     ``files`` comes from ``read_image_files``; ``manifest`` (path, content_type)
-    adds the declared types.  A file to be converted keeps null final bytes and
+    adds the declared types and the files that hold no bytes, which Spark's file
+    sources leave out.  A file to be converted keeps null final bytes and
     hash: transcoding is left to the caller.
     """
     if manifest is None:
         typed = files.withColumn("content_type", F.lit(None).cast("string"))
     else:
-        typed = files.join(manifest.select("path", "content_type"), "path", "left")
+        typed = files.join(manifest.select("path", "content_type"), "path", "full")
     typed = typed.withColumn("content_type", media_type(F.col("content_type")))
     reason = image_acceptance(
         F.col("length"), F.col("width"), F.col("height"), F.col("content_type"), min_edge
