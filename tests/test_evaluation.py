@@ -13,7 +13,13 @@ from twinlabel.operators.gates import (
     request_status,
     require_gates,
 )
-from twinlabel.operators.joins import case_join, last_prepared, prepared_rows, unprepared_rows
+from twinlabel.operators.joins import (
+    case_join,
+    hot_key_join,
+    last_prepared,
+    prepared_rows,
+    unprepared_rows,
+)
 from twinlabel.operators.reports import (
     dataset_order,
     image_source,
@@ -226,3 +232,25 @@ def test_orders_and_sources(spark, evaluate):
     assert [r[0] for r in provider_order(df).collect()] == ["gemini", "openai", "grok", "zzz"]
     both = unify_datasets(spark.range(1).selectExpr("id as a"), spark.range(1).selectExpr("id as b"))
     assert both.columns == ["a", "b"] and both.count() == 2
+
+
+def test_hot_key_join_splits_and_stays_exact(spark):
+    # One key holds a third of the rows, two more are over the limit, the rest are small.
+    rows = spark.range(9000).select(
+        F.col("id").alias("pos"),
+        F.when(F.col("id") < 3000, "hot").when(F.col("id") < 4000, "warm").when(F.col("id") < 4500, "lost")
+        .otherwise(F.concat(F.lit("k"), F.col("id") % 1500)).alias("id"),
+    )
+    per_key = rows.where("id <> 'lost'").groupBy("id").agg(F.max("pos").alias("top"))
+    for how in ("left", "inner", "left_semi", "left_anti"):
+        got = hot_key_join(rows, per_key, "id", "pos", how, share=0.01, min_rows=10)
+        want = rows.join(per_key, "id", how)
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), how
+    hot = hot_key_join(rows, per_key, "id", "pos", share=0.01, min_rows=10)
+    plan = hot._jdf.queryExecution().optimizedPlan().toString()
+    assert "_piece" in plan
+    # The hot key is cut into ceil(3000 / 90) pieces.
+    limit = 90
+    spread = rows.where("id = 'hot'").select(F.pmod(F.hash("pos"), F.lit(-(-3000 // limit))).alias("p"))
+    assert spread.distinct().count() == -(-3000 // limit)

@@ -6,23 +6,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def one_per_key(df: DataFrame, key: str | list[str], latest: Column) -> DataFrame:
-    """One row per key, the one with the greatest ``latest``.
+HOT_SHARE = 0.001
+HOT_ROWS = 100_000
 
-    An aggregate, so copies of a hot key fold before the shuffle.
+
+def hot_key_join(rows: DataFrame, per_key: DataFrame, key: str, spread: str, how: str = "left",
+                 share: float = HOT_SHARE, min_rows: int = HOT_ROWS) -> DataFrame:
+    """Join rows with a table of one row per key; a key with very many rows is split.
+
+    A key is hot when it holds more than ``share`` of all rows (and more than
+    ``min_rows``), so there are fewer than ``1 / share`` hot keys and their table
+    may be broadcast whatever the size of the data.  The rows of a hot key are
+    spread over pieces of about ``share`` of all rows each by the hash of
+    ``spread``, a column that differs between them; the one row of the other
+    side is repeated per piece, fewer than ``2 / share`` times over all keys.
     """
-    keys = [key] if isinstance(key, str) else key
-    rest = [c for c in df.columns if c not in keys]
-    picked = F.max_by(F.struct(*rest), latest).alias("_row")
-    return df.groupBy(*keys).agg(picked).select(*keys, "_row.*")
+    size = rows.agg(F.count("*").alias("n")).scalar()
+    limit = F.greatest(size * F.lit(share), F.lit(float(min_rows)))
+    hot = F.broadcast(
+        rows.groupBy(key)
+        .agg(F.count("*").alias("_n"))
+        .where(F.col("_n") > limit)
+        .select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_pieces"))
+    )
+    pieces = F.coalesce("_pieces", F.lit(1))
+    left = rows.join(hot, key, "left").withColumn("_piece", F.pmod(F.hash(spread), pieces))
+    right = per_key.join(hot, key, "left").withColumn(
+        "_piece", F.explode(F.sequence(F.lit(0), pieces - 1))
+    )
+    return left.drop("_pieces").join(right.drop("_pieces"), [key, "_piece"], how).drop("_piece")
 
 
 def case_join(cases: DataFrame, facts: DataFrame, name: str, key: str = "id",
-              latest: Column | None = None, how: str = "left") -> DataFrame:
+              latest: Column | None = None, how: str = "left", spread: str = "pos") -> DataFrame:
     """Cases with the facts of the same id as struct ``name``.
 
     Of several facts with one id the greatest ``latest`` counts (all columns in
-    order when none is given).  Every case row stays, copies of an id included.
+    order when none is given).  Every case row stays, copies of an id included;
+    ``spread`` is a column that differs between them.
     """
     columns = [c for c in facts.columns if c != key]
     order = F.struct(*columns) if latest is None else latest
@@ -31,14 +52,15 @@ def case_join(cases: DataFrame, facts: DataFrame, name: str, key: str = "id",
         .groupBy(key)
         .agg(F.max_by(name, "_order").alias(name))
     )
-    return cases.join(one, key, how)
+    return hot_key_join(cases, one, key, spread, how)
 
 
 def last_prepared(cases: DataFrame, key: str = "id", order: str = "pos") -> DataFrame:
     """Each case row carries the content of the last row with its id."""
     rest = [c for c in cases.columns if c not in (key, order)]
     last = cases.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_last"))
-    return cases.select(key, order).join(last, key).select(key, order, "_last.*")
+    joined = hot_key_join(cases.select(key, order), last, key, order, "inner")
+    return joined.select(key, order, "_last.*")
 
 
 def spec_join(cases: DataFrame, replies: DataFrame, expected: str, answer: str,
@@ -52,12 +74,16 @@ def spec_join(cases: DataFrame, replies: DataFrame, expected: str, answer: str,
     )
 
 
-def prepared_rows(cases: DataFrame, prepared: DataFrame, key: str = "id") -> DataFrame:
-    return cases.join(prepared.select(key), key, "left_semi")
+def prepared_rows(cases: DataFrame, prepared: DataFrame, key: str = "id", spread: str = "pos",
+                  ) -> DataFrame:
+    """Cases with a prepared record."""
+    return hot_key_join(cases, prepared.select(key).distinct(), key, spread, "left_semi")
 
 
-def unprepared_rows(cases: DataFrame, prepared: DataFrame, key: str = "id") -> DataFrame:
-    return cases.join(prepared.select(key), key, "left_anti")
+def unprepared_rows(cases: DataFrame, prepared: DataFrame, key: str = "id", spread: str = "pos",
+                    ) -> DataFrame:
+    """Cases without a prepared record."""
+    return hot_key_join(cases, prepared.select(key).distinct(), key, spread, "left_anti")
 
 
 def all_pass(df: DataFrame, ok: Column) -> Column:

@@ -18,7 +18,8 @@ def lookup_join(
     """Join a lookup table, broadcast only when its measured size is within ``max_bytes``.
 
     The size is one aggregate over the lookup table.  A larger table takes the
-    planner's own join, where AQE splits a hot key of ``df``.
+    planner's own join: both sides are then shuffled on the key, and AQE splits
+    a hot key of ``df``.
     """
     size = table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
     return df.join(F.broadcast(table) if size <= max_bytes else table, on, how)

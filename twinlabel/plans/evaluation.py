@@ -29,7 +29,7 @@ from ..functions.text import (
     upstream_error,
 )
 from ..operators.folds import run_verdict
-from ..operators.joins import all_pass, case_join, last_prepared
+from ..operators.joins import all_pass, hot_key_join, last_prepared
 from ..operators.reports import case_projection_gated, case_projection_isolated
 
 NOTE_ISOLATED = "Specification values stand side by side for review; nothing judges their meaning."
@@ -183,14 +183,20 @@ def _with_result(df: DataFrame, open_gate: Column, skipped: str, compare) -> Dat
 
 
 def _with_facts(cases: DataFrame, images: DataFrame, replies: DataFrame) -> DataFrame:
-    answered = case_join(
-        cases.join(_checked(images), "id", "left"),
-        read_reply(replies),
-        "_reply",
-        latest=F.struct(F.col("api_error").isNull(), F.coalesce(F.col("api_error"), F.lit("")),
-                        F.to_json("ai_response")),
+    """Cases with ``validation`` and ``_reply``.
+
+    Both kinds of facts are brought to one row per id and put side by side
+    first, so the cases, whose ids may repeat, are joined once.
+    """
+    best = F.struct(
+        F.col("api_error").isNull(), F.coalesce("api_error", F.lit("")), F.to_json("ai_response")
     )
-    return answered
+    answered = (
+        read_reply(replies)
+        .groupBy("id")
+        .agg(F.max_by(F.struct("api_error", "ai_response"), best).alias("_reply"))
+    )
+    return hot_key_join(cases, _checked(images).join(answered, "id", "full"), "id", "pos")
 
 
 def evaluate_isolated(cases: DataFrame, images: DataFrame, replies: DataFrame) -> DataFrame:
@@ -215,11 +221,10 @@ def evaluate_gated(cases: DataFrame, images: DataFrame, replies: DataFrame) -> D
     Order the report with ``order_by_id``.
     """
     fields = [c for c in images.columns if c not in ("id", "resolved_url")]
-    facts = _checked(images)
-    passed_ids = cases.select("id").join(
-        facts.select("id", F.col("validation.status").alias("status")), "id", "left"
-    )
-    gate = all_pass(passed_ids, F.col("status") == "ok")
+    passed = images.groupBy("id").agg(F.bool_or(F.col("status") == "ok").alias("ok"))
+    # One failed or missing image is enough; ids are compared once each.
+    ids = cases.select("id").distinct().join(passed, "id", "left")
+    gate = all_pass(ids, F.col("ok"))
     joined = _with_facts(last_prepared(case_projection_gated(cases)), images, replies)
     ok = F.coalesce(F.col("validation.status") == "ok", F.lit(False))
     checked = joined.withColumn(

@@ -78,6 +78,12 @@ def call_clients(calls: DataFrame, factories: Mapping[str, ClientFactory], stage
     return calls.select(*_CALL_COLUMNS).mapInPandas(run, STORED_REPLY)
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    """Cut the lineage with a table in the shared work folder."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_stored_replies(spark: SparkSession, path: str) -> DataFrame:
     """Stored replies, one per key: a success is preferred to a failure."""
     return (
@@ -111,7 +117,9 @@ def answer_calls(calls: DataFrame, payloads: DataFrame, factories: Mapping[str,
         .join(narrow.repartition(width, "request_id"), "request_id")
     )
     call_clients(to_send, factories, stage).write.mode("append").parquet(path)
-    return read_stored_replies(spark, path)
+    # As a table of its own the replies are shuffled by their reader's join, which
+    # is what lets AQE split a key shared by very many requests.
+    return _written(read_stored_replies(spark, path), f"{path}-settled")
 
 
 def prepare_requests(requests: DataFrame, configured: Iterable[str]) -> DataFrame:
@@ -149,12 +157,6 @@ def build_model_requests(requests: DataFrame, stage: int, prompt: Column) -> Dat
     )
 
 
-def _written(df: DataFrame, path: str) -> DataFrame:
-    """Cut the lineage with a table in the shared work folder."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _parsed(replied: DataFrame, guard: Callable[[Column], Column], prefix: str) -> DataFrame:
     """Parse the reply and say why it is not usable, if it is not."""
     status = (

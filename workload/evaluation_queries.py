@@ -302,7 +302,8 @@ def case_join(spark, sf_dir):
         F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey"
     )
     joined = join_facts(
-        orders, lines, "last", key="o_orderkey", latest=F.struct("l_linenumber", "l_partkey")
+        orders, lines, "last", key="o_orderkey", latest=F.struct("l_linenumber", "l_partkey"),
+        spread="o_orderkey",
     )
     return joined.select(
         "o_orderkey", F.col("last.l_partkey").alias("part"), F.col("last.l_linenumber").alias("line")
@@ -317,8 +318,9 @@ def prepared_split(spark, sf_dir):
     """Customers with and without orders, apart and together again."""
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    ready = prepared_rows(customers, orders, "c_custkey").withColumn("prepared", F.lit(True))
-    failed = unprepared_rows(customers, orders, "c_custkey").withColumn("prepared", F.lit(False))
+    key = "c_custkey"
+    ready = prepared_rows(customers, orders, key, key).withColumn("prepared", F.lit(True))
+    failed = unprepared_rows(customers, orders, key, key).withColumn("prepared", F.lit(False))
     return merge_failed_and_prepared(failed, ready)
 
 
