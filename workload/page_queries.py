@@ -15,14 +15,13 @@ from .registry import SQL_SPACE, query, table
 EXTENSIONS = ("/th", "/la", "/de", ".")
 ANY_PATH = ("/",)
 
-# The references that occur in the pages; the ampersand comes last.
-_ENTITIES = (("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&lt;", "<"), ("&gt;", ">"),
-             ("&nbsp;", " "), ("&#39;", "''"), ("&amp;", "&"))
+# The references that occur in the pages, the ampersand last; their semicolon may be missing.
+_ENTITIES = (("quot", '"'), ("middot", "·"), ("copy", "©"), ("lt", "<"), ("gt", ">"), ("amp", "&"))
 
 
 def _unescaped(expr: str) -> str:
-    for entity, char in _ENTITIES:
-        expr = f"replace({expr}, '{entity}', '{char}')"
+    for name, char in _ENTITIES:
+        expr = f"regexp_replace({expr}, '&{name};?', '{char}', 'g')"
     return f"replace({expr}, '\\/', '/')"
 
 
