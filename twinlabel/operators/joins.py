@@ -10,25 +10,33 @@ HOT_SHARE = 0.001
 HOT_ROWS = 100_000
 
 
-def hot_key_join(rows: DataFrame, per_key: DataFrame, key: str, spread: str, how: str = "left",
-                 share: float = HOT_SHARE, min_rows: int = HOT_ROWS) -> DataFrame:
-    """Join rows with a table of one row per key; a key with very many rows is split.
+def hot_keys(rows: DataFrame, key: str, share: float = HOT_SHARE,
+             min_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys that hold more than ``share`` of all rows (and more than ``min_rows``).
 
-    A key is hot when it holds more than ``share`` of all rows (and more than
-    ``min_rows``), so there are fewer than ``1 / share`` hot keys and their table
-    may be broadcast whatever the size of the data.  The rows of a hot key are
-    spread over pieces of about ``share`` of all rows each by the hash of
-    ``spread``, a column that differs between them; the one row of the other
-    side is repeated per piece, fewer than ``2 / share`` times over all keys.
+    ``_pieces`` says into how many parts of about ``share`` a key is cut.  There
+    are fewer than ``1 / share`` such keys and fewer than ``2 / share`` pieces,
+    whatever the size of the data, so the table may be broadcast.
     """
     size = rows.agg(F.count("*").alias("n")).scalar()
     limit = F.greatest(size * F.lit(share), F.lit(float(min_rows)))
-    hot = F.broadcast(
+    return (
         rows.groupBy(key)
         .agg(F.count("*").alias("_n"))
         .where(F.col("_n") > limit)
         .select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_pieces"))
     )
+
+
+def hot_key_join(rows: DataFrame, per_key: DataFrame, key: str, spread: str, how: str = "left",
+                 share: float = HOT_SHARE, min_rows: int = HOT_ROWS) -> DataFrame:
+    """Join rows with a table of one row per key; a key with very many rows is split.
+
+    The rows of a hot key are spread over its pieces by the hash of ``spread``,
+    a column that differs between them; the one row of the other side is
+    repeated per piece.  All other keys have a single piece.
+    """
+    hot = F.broadcast(hot_keys(rows, key, share, min_rows))
     pieces = F.coalesce("_pieces", F.lit(1))
     left = rows.join(hot, key, "left").withColumn("_piece", F.pmod(F.hash(spread), pieces))
     right = per_key.join(hot, key, "left").withColumn(
@@ -55,12 +63,20 @@ def case_join(cases: DataFrame, facts: DataFrame, name: str, key: str = "id",
     return hot_key_join(cases, one, key, spread, how)
 
 
+def last_of_each(cases: DataFrame, key: str = "id", order: str = "pos") -> DataFrame:
+    """One row per id: the content of its last row."""
+    rest = [c for c in cases.columns if c not in (key, order)]
+    return (
+        cases.groupBy(key)
+        .agg(F.max_by(F.struct(*rest), order).alias("_last"))
+        .select(key, "_last.*")
+    )
+
+
 def last_prepared(cases: DataFrame, key: str = "id", order: str = "pos") -> DataFrame:
     """Each case row carries the content of the last row with its id."""
-    rest = [c for c in cases.columns if c not in (key, order)]
-    last = cases.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_last"))
-    joined = hot_key_join(cases.select(key, order), last, key, order, "inner")
-    return joined.select(key, order, "_last.*")
+    last = last_of_each(cases, key, order)
+    return hot_key_join(cases.select(key, order), last, key, order, "inner")
 
 
 def spec_join(cases: DataFrame, replies: DataFrame, expected: str, answer: str,

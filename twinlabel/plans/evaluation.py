@@ -29,7 +29,7 @@ from ..functions.text import (
     upstream_error,
 )
 from ..operators.folds import run_verdict
-from ..operators.joins import all_pass, hot_key_join, last_prepared
+from ..operators.joins import all_pass, hot_key_join, last_of_each
 from ..operators.reports import case_projection_gated, case_projection_isolated
 
 NOTE_ISOLATED = "Specification values stand side by side for review; nothing judges their meaning."
@@ -182,12 +182,8 @@ def _with_result(df: DataFrame, open_gate: Column, skipped: str, compare) -> Dat
     )
 
 
-def _with_facts(cases: DataFrame, images: DataFrame, replies: DataFrame) -> DataFrame:
-    """Cases with ``validation`` and ``_reply``.
-
-    Both kinds of facts are brought to one row per id and put side by side
-    first, so the cases, whose ids may repeat, are joined once.
-    """
+def _facts(images: DataFrame, replies: DataFrame) -> DataFrame:
+    """``validation`` and ``_reply`` side by side, one row per id."""
     best = F.struct(
         F.col("api_error").isNull(), F.coalesce("api_error", F.lit("")), F.to_json("ai_response")
     )
@@ -196,14 +192,14 @@ def _with_facts(cases: DataFrame, images: DataFrame, replies: DataFrame) -> Data
         .groupBy("id")
         .agg(F.max_by(F.struct("api_error", "ai_response"), best).alias("_reply"))
     )
-    return hot_key_join(cases, _checked(images).join(answered, "id", "full"), "id", "pos")
+    return _checked(images).join(answered, "id", "full")
 
 
 def evaluate_isolated(cases: DataFrame, images: DataFrame, replies: DataFrame) -> DataFrame:
     """Per-case isolation.  ``images``: id, status, error and observations;
     ``replies``: id, http_status, body.  Order the report with ``dataset_order``."""
     fields = [c for c in images.columns if c != "id"]
-    joined = _with_facts(case_projection_isolated(cases), images, replies)
+    joined = hot_key_join(case_projection_isolated(cases), _facts(images, replies), "id", "pos")
     checked = joined.withColumn(
         "image",
         F.col("image").withField(
@@ -225,7 +221,8 @@ def evaluate_gated(cases: DataFrame, images: DataFrame, replies: DataFrame) -> D
     # One failed or missing image is enough; ids are compared once each.
     ids = cases.select("id").distinct().join(passed, "id", "left")
     gate = all_pass(ids, F.col("ok"))
-    joined = _with_facts(last_prepared(case_projection_gated(cases)), images, replies)
+    per_id = last_of_each(case_projection_gated(cases)).join(_facts(images, replies), "id", "left")
+    joined = hot_key_join(cases.select("id", "pos"), per_id, "id", "pos")
     ok = F.coalesce(F.col("validation.status") == "ok", F.lit(False))
     checked = joined.withColumn(
         "image",
