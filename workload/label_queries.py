@@ -30,7 +30,7 @@ from .bindings import (
     packs,
     stub_clients,
 )
-from .registry import query, table
+from .registry import query, table, texts
 
 
 def _case_sql(column: str, table_: dict, otherwise: str = "NULL") -> str:
@@ -156,7 +156,7 @@ def render_prompt(spark, sf_dir):
   FROM ({REQUESTS_SQL})""")
 def model_requests(spark, sf_dir):
     """Request bodies of both shapes for every document, read back from their JSON."""
-    requests = as_requests(table(spark, sf_dir, "documents"))
+    requests = as_requests(texts(spark, sf_dir, "documents"))
     built = build_model_requests(requests, 1, T.render_prompt(TEMPLATES[1]))
     body = F.col("b")
     gemini = F.col("provider") == "gemini"
@@ -182,7 +182,7 @@ def model_requests(spark, sf_dir):
 
 def _labelled(spark, sf_dir):
     return label_two_stage(
-        as_requests(table(spark, sf_dir, "documents")),
+        as_requests(texts(spark, sf_dir, "documents")),
         packs(spark, sf_dir),
         core_text(spark, sf_dir),
         stub_clients(),

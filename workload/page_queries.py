@@ -9,7 +9,7 @@ from twinlabel.operators.nested import explode_items
 from twinlabel.plans.pages import page_candidates as candidates_of
 from twinlabel.plans.pages import resolve_page_images
 
-from .registry import SQL_SPACE, query, table
+from .registry import SQL_SPACE, query, texts
 
 # The pages hold no pictures, so other path pieces stand for image extensions.
 EXTENSIONS = ("/th", "/la", "/de", ".")
@@ -43,7 +43,7 @@ LINKS_SQL = f"""
 @query(f"SELECT page_id, md5(html_text) AS text_md5 FROM ({LINKS_SQL})")
 def page_text(spark, sf_dir):
     """Entities decoded over the whole page."""
-    return table(spark, sf_dir, "pages").select(
+    return texts(spark, sf_dir, "pages").select(
         "page_id", F.md5(T.page_text(F.col("html"))).alias("text_md5")
     )
 
@@ -58,7 +58,7 @@ def page_text(spark, sf_dir):
 def page_candidates(spark, sf_dir):
     """Every link with a path, resolved, first occurrences in page order."""
     return (
-        candidates_of(table(spark, sf_dir, "pages"), ANY_PATH)
+        candidates_of(texts(spark, sf_dir, "pages"), ANY_PATH)
         .transform(explode_items, "candidates", "page_id", value="link")
         .withColumnRenamed("index", "pos")
     )
@@ -81,7 +81,7 @@ def page_candidates(spark, sf_dir):
 def page_image_choice(spark, sf_dir):
     """One image per page: explicit link, wrong type, hinted link, first link, none."""
     lang = F.regexp_extract("url", "^https?://[^/]*/([a-z]+)/", 1)
-    pages = table(spark, sf_dir, "pages").withColumns(
+    pages = texts(spark, sf_dir, "pages").withColumns(
         {
             "content_type": F.when(lang == "de", "application/pdf; v=1")
             .when(lang == "en", "Text/HTML; charset=utf-8"),

@@ -21,7 +21,7 @@ from twinlabel.constants import (
 )
 from twinlabel.schemas import IDENTIFICATION
 
-from .registry import query, sql_norm, sql_tokens, table
+from .registry import query, sql_norm, sql_tokens, table, texts
 
 # ---------------------------------------------------------------- payloads
 PAYLOAD_LIMIT = 4000
@@ -39,7 +39,7 @@ def payload_valid(spark, sf_dir):
     """Payload check on the base64 of every text and on the raw text; the limit is lowered
     so that both outcomes occur."""
     payload = T.base64_line(F.encode("text", "UTF-8"))
-    return table(spark, sf_dir, "documents").select("doc_id", "text", payload.alias("b")).select(
+    return texts(spark, sf_dir, "documents").select("doc_id", "text", payload.alias("b")).select(
         "doc_id",
         F.length("b").alias("payload_chars"),
         T.valid_payload(F.col("b"), PAYLOAD_LIMIT).alias("payload_ok"),
@@ -61,7 +61,7 @@ def payload_valid(spark, sf_dir):
 def request_status(spark, sf_dir):
     """First failure wins: raw texts are bad payloads, three sources lack a provider, and
     very short or long texts stand for failed stages."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     payload = F.when(F.col("lang") == "de", F.col("text")).otherwise(
         T.base64_line(F.encode("text", "UTF-8"))
     )
@@ -82,7 +82,7 @@ def request_status(spark, sf_dir):
   FROM documents""")
 def hash_and_size(spark, sf_dir):
     content = F.encode("text", "UTF-8")
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         "doc_id",
         T.sha256(content).alias("text_sha256"),
         T.truncate_text(T.sha256(content), 12).alias("short_hash"),
@@ -99,7 +99,7 @@ def decode_text(spark, sf_dir):
     good = F.encode("text", "UTF-8")
     first = F.encode(F.substring("text", 1, 1), "UTF-8")
     broken = F.concat(first, F.unhex(F.lit("80")), good)
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         "doc_id",
         F.md5(T.decode_utf8_replace(good)).alias("text_md5"),
         F.md5(T.decode_utf8_replace(broken)).alias("broken_md5"),
@@ -109,7 +109,7 @@ def decode_text(spark, sf_dir):
 # ---------------------------------------------------------------- text
 @query(f"SELECT doc_id, md5({sql_norm('text')}) AS norm_md5 FROM documents")
 def norm_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         "doc_id", F.md5(T.norm(F.col("text"))).alias("norm_md5")
     )
 
@@ -127,7 +127,7 @@ def norm_text(spark, sf_dir):
   FROM named""")
 def item_name_match(spark, sf_dir):
     """Every document paired with one benchmark item; token overlap of the whole texts."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     items = table(spark, sf_dir, "benchmark")
     expected = items.select("item_id", token_set(F.col("text")).alias("expected"))
     count = items.agg(F.count("*").alias("n")).scalar()
@@ -152,7 +152,7 @@ def item_name_match(spark, sf_dir):
   FROM documents""")
 def log_truncate(spark, sf_dir):
     """Fences are put around every text and taken off again; log text is cut to its limit."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     fenced = (
         F.when(F.col("source") == "src1", F.concat(F.lit("```json\n"), "text", F.lit("\n```")))
         .when(F.col("source") == "src2", F.concat(F.lit(" ```\n"), "text", F.lit("```\n")))
@@ -221,7 +221,7 @@ ROUTING_REPLY_SQL = """
   FROM g""")
 def guard_routing(spark, sf_dir):
     """Routing replies built from the documents, broken in eight ways by source."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     category = (
         F.when(F.col("lang") == "en", "fasteners")
         .when(F.col("lang") == "fr", "electrical")
@@ -359,7 +359,7 @@ def _reply_sql() -> str:
   FROM r""")
 def guard_identification(spark, sf_dir):
     """Identification replies from the documents: guard, full contract, consistency."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     lines = F.split("text", "\n")
     uncertain = (
         F.when(F.col("source") == "src12", F.parse_json(F.lit("[1]")))
@@ -424,7 +424,7 @@ def guard_identification(spark, sf_dir):
   FROM e""")
 def reply_text(spark, sf_dir):
     """Reply bodies of both shapes built from every turn, their texts extracted again."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = texts(spark, sf_dir, "conversations")
 
     def item(kind, text):
         return F.struct(F.lit(kind).alias("type"), text.alias("text"))
