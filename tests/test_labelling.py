@@ -18,7 +18,7 @@ from twinlabel.operators.lookups import (
     unknown_provider_rows,
 )
 from twinlabel.plans.comparison import result_sections
-from twinlabel.plans.labelling import build_model_requests, label_two_stage
+from twinlabel.plans.labelling import build_model_requests, label_and_log, label_two_stage
 from twinlabel.sources.readers import (
     provider_table,
     read_core_pack,
@@ -140,6 +140,12 @@ def test_two_stages(spark, packs, core, tmp_path):
     assert card.names_line == "a／b" and card.uncertain_fields is None and len(card.specifications) == 1
 
     log = str(tmp_path / "log")
+    logged = label_and_log(requests(spark, ROWS[:4]).withColumn("body_ok", F.col("request_id") != "2"),
+                           packs, core, clients, work, log)
+    assert {r.request_id: r.error for r in logged.collect()} == {
+        "1": None, "2": "unreadable_body", "3": None, "4": "provider_not_configured"}
+    assert spark.read.parquet(log).count() == 2
+    log = str(tmp_path / "log2")
     append_result_log(done, None)
     append_result_log(done, log)
     append_result_log(done, log)
@@ -204,6 +210,8 @@ def test_request_bodies(spark):
     assert content[0]["image_url"] == "data:image/jpeg;base64,QUJD" and content[1]["text"] == "p"
     assert r["model"] == "gpt-5.6-sol" and r["text"]["format"]["strict"] is True
     assert built["1"].call_key == built["3"].call_key != built["2"].call_key
+    small = build_model_requests(rows, 2, F.lit("p"), budget=1800).where("request_id = '2'").first()
+    assert json.loads(small.body)["max_output_tokens"] == 1800
     other = build_model_requests(rows, 1, T.render_prompt(TEMPLATES[1])).where("request_id = '1'").first()
     assert other.call_key != built["1"].call_key
 
@@ -220,9 +228,10 @@ def test_sources(spark, tmp_path):
     assert read_core_pack(spark, str(tmp_path / "ref")).first().text == "core\ntext"
 
     (tmp_path / "r.json").write_text('{"request_id":"1","image":"QQ=="}\n{"request_id":"2","image":5}\n'
-                                     '{"request_id":"3"}\n{"request_id":"4","image":null}\n')
+                                     '{"request_id":"3"}\n{"request_id":"4","image":null}\n{"request')
     got = read_label_requests(spark, str(tmp_path / "r.json"), "json").orderBy("request_id").collect()
-    assert [r.image for r in got] == ["QQ==", "", "", ""]
+    assert [(r.image, r.body_ok) for r in got] == [
+        ("", False), ("QQ==", True), ("", True), ("", True), ("", True)]
 
     replies = spark.createDataFrame([("1", "1", "gemini", 200, "{}")],
                                     "request_id string, stage string, provider string, http_status int, body string")
@@ -232,3 +241,32 @@ def test_sources(spark, tmp_path):
         str(tmp_path / "pages"))
     assert read_pages(spark, str(tmp_path / "pages")).columns == [
         "page_id", "url", "html", "content_type", "image_hint"]
+
+
+def test_replies_of_finished_tasks_survive_a_failed_job(spark, packs, core, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    (calls / "healed").touch()
+    work = str(tmp_path / "work")
+
+    def broken():
+        def answer(request):
+            import os
+            import time
+
+            if request["image"] == "A019":
+                time.sleep(4)
+                os._exit(1)
+            return '{"category":"fasteners","reason":"has a thread"}'
+
+        return answer
+
+    rows = requests(spark, [(str(i), "gemini", f"A{i:03d}") for i in range(40)])
+    with pytest.raises(Exception):
+        label_two_stage(rows, packs, core, {"gemini": broken}, work, max_clients=4)
+    kept = spark.read.parquet(f"{work}/stage=1").count()
+    assert 0 < kept < 40
+    done = label_two_stage(rows, packs, core, factory(str(calls)), work)
+    assert done.where("status = 200").count() == 40
+    made = [p.name for p in calls.iterdir() if p.name.startswith("category_routing")]
+    assert len(made) == 40 - kept

@@ -37,16 +37,16 @@ CATEGORY_LABELS = {
 EVIDENCE_LABELS = {"observed": "可見", "estimated": "目測", "unconfirmed": "未確認"}
 NAME_SEPARATOR = "／"
 
-# --- category -> reference text --------------------------------------------
-PACK_FILES = {
-    "fasteners": "fasteners/knowledge.md",
-    "plumbing": "plumbing/knowledge.md",
-    "electrical": "electrical/knowledge.md",
-    "building-hardware": "building-hardware/knowledge.md",
-    "general-repair": "general-repair/knowledge.md",
-    "unknown": "general-repair/knowledge.md",
+# --- category -> folder of its reference text --------------------------------
+PACK_FOLDERS = {
+    "fasteners": "fasteners",
+    "plumbing": "plumbing",
+    "electrical": "electrical",
+    "building-hardware": "building-hardware",
+    "general-repair": "general-repair",
+    "unknown": "general-repair",
 }
-CORE_PACK_FILE = "core/identification-principles.md"
+CORE_FOLDER = "core"
 
 # --- images -----------------------------------------------------------------
 MIME_BY_FORMAT = {

@@ -55,11 +55,11 @@ def call_key(image_hash: Column, provider: Column, model: Column, stage: int, pr
 
 
 def request_body(provider: Column, model: Column, image: Column, prompt: Column, stage: int,
-                 mime: Column | None = None) -> Column:
+                 mime: Column | None = None, max_output_tokens: int | None = None) -> Column:
     """The request as JSON, in shape G for gemini and shape R for the other providers."""
     mime = F.lit(MIME_BY_FORMAT["JPEG"]) if mime is None else mime
     schema = F.parse_json(F.lit(JSON_SCHEMAS[stage]))
-    budget = F.lit(OUTPUT_BUDGET[stage])
+    budget = F.lit(max_output_tokens or OUTPUT_BUDGET[stage])
     shape_g = F.struct(
         F.array(
             F.struct(

@@ -69,10 +69,18 @@ def request_status(
     routing_ok: Column | None = None,
     pack_ok: Column | None = None,
     identification_ok: Column | None = None,
+    body_ok: Column | None = None,
 ) -> Column:
-    """HTTP-like status, first failure wins: 400 payload, 503 provider, 502 later stages."""
-    status = F.when(~F.coalesce(payload_ok, F.lit(False)), F.lit(400)).when(
-        ~F.coalesce(provider_ready, F.lit(False)), F.lit(503)
+    """HTTP-like status, first failure wins.
+
+    502 for an unreadable body, 400 for a bad payload, 503 for a provider not
+    configured, 502 for any later stage, else 200.
+    """
+    readable = F.lit(True) if body_ok is None else F.coalesce(body_ok, F.lit(True))
+    status = (
+        F.when(~readable, F.lit(502))
+        .when(~F.coalesce(payload_ok, F.lit(False)), F.lit(400))
+        .when(~F.coalesce(provider_ready, F.lit(False)), F.lit(503))
     )
     for stage in (routing_ok, pack_ok, identification_ok):
         if stage is not None:

@@ -73,7 +73,7 @@ def session_timeline(events: DataFrame, providers=PROVIDER_CODES,
         .select("session_id", "chunk", F.max("_top").over(before).alias("_seen"))
     )
     imaged = (
-        cut.join(seen, ["session_id", "chunk"])
+        cut.join(seen, ["session_id", "chunk"], "left")
         .withColumn("image", F.greatest("_seen", F.max("image_seq").over(in_chunk)))
         .drop("_seen")
     )

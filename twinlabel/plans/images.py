@@ -21,7 +21,8 @@ def image_preflight(files: DataFrame, manifest: DataFrame | None = None,
                     min_edge: int = MIN_EDGE_PX) -> DataFrame:
     """Accept or reject each file and describe it.
 
-    ``files`` comes from ``read_image_files``; ``manifest`` (path, content_type)
+    ``files`` comes from ``read_image_files``; ``manifest`` (path, content_type and
+    any further columns, such as the id an evaluation joins on)
     adds the declared types and the files that hold no bytes, which Spark's file
     sources leave out.  A file to be converted keeps null final bytes and
     hash: transcoding is left to the caller.
@@ -29,7 +30,7 @@ def image_preflight(files: DataFrame, manifest: DataFrame | None = None,
     if manifest is None:
         typed = files.withColumn("content_type", F.lit(None).cast("string"))
     else:
-        typed = files.join(manifest.select("path", "content_type"), "path", "full")
+        typed = files.join(manifest, "path", "full")
     typed = typed.withColumn("content_type", media_type(F.col("content_type")))
     reason = image_acceptance(
         F.col("length"), F.col("width"), F.col("height"), F.col("content_type"), min_edge
@@ -59,6 +60,3 @@ def image_preflight(files: DataFrame, manifest: DataFrame | None = None,
         .drop("length", "reason")
     )
 
-
-def with_file_format(files: DataFrame, content: str = "content") -> DataFrame:
-    return files.withColumn("original_format", file_format(F.col(content)))

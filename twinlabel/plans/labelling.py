@@ -8,6 +8,7 @@ job nor a rerun pays for a finished call again.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import pandas as pd
@@ -32,6 +33,7 @@ from ..operators.lookups import attach_category_pack, attach_core_pack, provider
 from ..operators.reports import envelope
 from ..schemas import IDENTIFICATION, STORED_REPLY
 from ..session import path_exists
+from ..sources.writers import append_result_log
 
 # A client takes one request (provider, model, prompt, image, mime, schema_name,
 # schema, max_output_tokens) and returns the reply text.  A factory makes one
@@ -78,9 +80,14 @@ def call_clients(calls: DataFrame, factories: Mapping[str, ClientFactory], stage
     return calls.select(*_CALL_COLUMNS).mapInPandas(run, STORED_REPLY)
 
 
+def _run_folder(work: str) -> str:
+    """A folder of this run's own: what an earlier run returned stays readable."""
+    return f"{work}/run-{uuid.uuid4().hex}"
+
+
 def _written(df: DataFrame, path: str) -> DataFrame:
     """Cut the lineage with a table in the shared work folder."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -95,7 +102,7 @@ def read_stored_replies(spark: SparkSession, path: str) -> DataFrame:
 
 
 def answer_calls(calls: DataFrame, payloads: DataFrame, factories: Mapping[str, ClientFactory],
-                 stage: int, path: str, max_clients: int | None = None) -> DataFrame:
+                 stage: int, path: str, settled: str, max_clients: int | None = None) -> DataFrame:
     """Make the calls ``path`` has no success for, append them, return all replies.
 
     ``calls``: request_id, call_key, provider, model, prompt; ``payloads``:
@@ -116,17 +123,23 @@ def answer_calls(calls: DataFrame, payloads: DataFrame, factories: Mapping[str,
         .repartition(width, "request_id")
         .join(narrow.repartition(width, "request_id"), "request_id")
     )
-    call_clients(to_send, factories, stage).write.mode("append").parquet(path)
+    # Version 2 publishes the files of each task as it ends, so the replies of finished
+    # tasks survive a failed job; a reply published twice settles to one below.
+    call_clients(to_send, factories, stage).write.mode("append").option(
+        "mapreduce.fileoutputcommitter.algorithm.version", "2"
+    ).parquet(path)
     # As a table of its own the replies are shuffled by their reader's join, which
     # is what lets AQE split a key shared by very many requests.
-    return _written(read_stored_replies(spark, path), f"{path}-settled")
+    return _written(read_stored_replies(spark, path), settled)
 
 
 def prepare_requests(requests: DataFrame, configured: Iterable[str]) -> DataFrame:
     """Payload check, provider lookup and the hash that stands for the payload."""
     image = F.coalesce(F.col("image"), F.lit(""))
+    body_ok = F.col("body_ok") if "body_ok" in requests.columns else F.lit(True)
     return requests.withColumns(
         {
+            "body_ok": F.coalesce(body_ok, F.lit(True)),
             "model": provider_model(F.col("provider")),
             "payload_ok": valid_payload(image),
             "provider_ready": F.coalesce(F.col("provider").isin(*configured), F.lit(False)),
@@ -142,7 +155,8 @@ def with_call(requests: DataFrame, stage: int, prompt: Column) -> DataFrame:
     )
 
 
-def build_model_requests(requests: DataFrame, stage: int, prompt: Column) -> DataFrame:
+def build_model_requests(requests: DataFrame, stage: int, prompt: Column,
+                         budget: int | None = None) -> DataFrame:
     """One row per request with its body as JSON and its key, for an offline batch job."""
     prepared = requests.withColumns(
         {
@@ -153,7 +167,7 @@ def build_model_requests(requests: DataFrame, stage: int, prompt: Column) -> Dat
     return with_call(prepared, stage, prompt).select(
         "request_id", "provider", "model", "call_key",
         request_body(F.col("provider"), F.col("model"), F.col("image"), F.col("prompt"), stage,
-                     F.col("mime")).alias("body"),
+                     F.col("mime"), budget).alias("body"),
     )
 
 
@@ -188,24 +202,28 @@ def label_two_stage(requests: DataFrame, packs: DataFrame, core: DataFrame,
     ``requests``: request_id (unique), image_id, provider, image, mime, ts.
     ``packs``: category, text.  ``core``: one row, text.  ``factories``:
     provider -> client factory; a provider without one is not configured.
-    ``work``: folder for the tables between the steps; calls that succeeded in
-    an earlier run over the same folder are not made again.
+    ``work``: folder for the reply tables and, in a folder per run, the tables
+    between the steps; calls that succeeded in an earlier run over the same
+    folder are not made again.
 
     A row failing at one step never enters the next.  Payloads are read three
     times, to check and hash them and for each stage's calls, and never pass
     through any other join; all other steps run on narrow written tables.
     """
+    run = _run_folder(work)
     facts = _written(
         prepare_requests(requests, factories).select(
-            "request_id", "image_id", "provider", "model", "ts", "image_hash", "payload_ok",
-            "provider_ready",
+            "request_id", "image_id", "provider", "model", "ts", "image_hash", "body_ok",
+            "payload_ok", "provider_ready",
         ),
-        f"{work}/requests",
+        f"{run}/requests",
     )
-    is_ready = F.col("payload_ok") & F.col("provider_ready")
+    is_ready = F.col("body_ok") & F.col("payload_ok") & F.col("provider_ready")
 
     first = with_call(facts.where(is_ready), 1, render_prompt(templates[1]))
-    replies_1 = answer_calls(first, requests, factories, 1, f"{work}/stage=1", max_clients)
+    replies_1 = answer_calls(
+        first, requests, factories, 1, f"{work}/stage=1", f"{run}/replies_1", max_clients
+    )
     routed = _written(
         first.drop("prompt")
         .join(replies_1, "call_key", "left")
@@ -217,7 +235,7 @@ def label_two_stage(requests: DataFrame, packs: DataFrame, core: DataFrame,
             }
         )
         .drop("call_key", "routing_value"),
-        f"{work}/routed",
+        f"{run}/routed",
     )
 
     referenced = (
@@ -232,7 +250,9 @@ def label_two_stage(requests: DataFrame, packs: DataFrame, core: DataFrame,
         render_prompt(templates[2], category=F.col("category"), reason=F.col("reason"),
                       core=F.col("core"), pack=F.col("pack")),
     ).drop("pack", "core")
-    replies_2 = answer_calls(second, requests, factories, 2, f"{work}/stage=2", max_clients)
+    replies_2 = answer_calls(
+        second, requests, factories, 2, f"{work}/stage=2", f"{run}/replies_2", max_clients
+    )
     described = (
         second.drop("prompt")
         .join(replies_2, "call_key", "left")
@@ -256,11 +276,13 @@ def label_two_stage(requests: DataFrame, packs: DataFrame, core: DataFrame,
             F.col("payload_ok"), F.col("provider_ready"),
             routing_ok=F.col("routing_status") == "ok",
             identification_ok=F.col("identification_status") == "ok",
+            body_ok=F.col("body_ok"),
         ),
     ).select(
         "request_id", "image_id", "provider", "model", "ts",
         "status",
-        F.when(F.col("status") == 400, "bad_payload")
+        F.when(~F.col("body_ok"), "unreadable_body")
+        .when(F.col("status") == 400, "bad_payload")
         .when(F.col("status") == 503, "provider_not_configured")
         .when(F.col("routing_status") != "ok",
               F.concat_ws(": ", F.lit("routing"), "routing_status", "routing_error"))
@@ -279,3 +301,16 @@ def label_two_stage(requests: DataFrame, packs: DataFrame, core: DataFrame,
         F.when(ok, result_payload(F.col("provider"), F.col("model"), F.col("category"), value))
         .alias("payload"),
     )
+
+
+def label_and_log(requests: DataFrame, packs: DataFrame, core: DataFrame,
+                  factories: Mapping[str, ClientFactory], work: str, log: str | None = None,
+                  max_clients: int | None = None) -> DataFrame:
+    """``label_two_stage`` with its results written below ``work`` and logged.
+
+    Without a log path nothing is logged.
+    """
+    labelled = label_two_stage(requests, packs, core, factories, work, max_clients)
+    results = _written(labelled, f"{_run_folder(work)}/results")
+    append_result_log(results, log)
+    return results

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import CATEGORIES, CORE_PACK_FILE, PACK_FILES, PROVIDERS
+from ..constants import CATEGORIES, CORE_FOLDER, PACK_FOLDERS, PROVIDERS
 from ..functions.encoding import byte_length, sha256
 from ..functions.images import file_format
 from ..schemas import DATASET, LABEL_REQUEST, MODEL_REPLY, PAGE
@@ -44,31 +44,32 @@ def explode_cases(dataset: DataFrame) -> DataFrame:
 
 
 def category_pack_map(spark: SparkSession) -> DataFrame:
-    """Category -> file of its reference text; ``unknown`` shares general-repair."""
-    rows = [(c, PACK_FILES[c]) for c in CATEGORIES]
-    return spark.createDataFrame(rows, "category string, file string")
+    """Category -> folder of its reference text; ``unknown`` shares general-repair."""
+    rows = [(c, PACK_FOLDERS[c]) for c in CATEGORIES]
+    return spark.createDataFrame(rows, "category string, folder string")
 
 
 def _read_whole_files(spark: SparkSession, folder: str) -> DataFrame:
+    """folder, text: every file below ``folder`` whole, with the name of its own folder."""
     return (
         spark.read.option("recursiveFileLookup", "true")
         .text(folder, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+        .select(
+            F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+\z", 1).alias("folder"),
+            F.col("value").alias("text"),
+        )
     )
 
 
 def read_reference_packs(spark: SparkSession, folder: str) -> DataFrame:
-    """category, text: the reference text of every category below ``folder``."""
-    files = _read_whole_files(spark, folder).withColumn(
-        "file", F.regexp_extract("path", r"([^/]+/[^/]+)\z", 1)
-    )
-    return category_pack_map(spark).join(files, "file").select("category", "text")
+    """category, text: the reference text of every category, one file per folder."""
+    files = _read_whole_files(spark, folder)
+    return category_pack_map(spark).join(files, "folder").select("category", "text")
 
 
 def read_core_pack(spark: SparkSession, folder: str) -> DataFrame:
     """text: the one shared reference text."""
-    name = CORE_PACK_FILE
-    return _read_whole_files(spark, f"{folder.rstrip('/')}/{name}").select("text")
+    return _read_whole_files(spark, f"{folder.rstrip('/')}/{CORE_FOLDER}").select("text")
 
 
 def provider_table(spark: SparkSession) -> DataFrame:
@@ -81,12 +82,19 @@ def provider_table(spark: SparkSession) -> DataFrame:
 def read_label_requests(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Labelling requests; a missing image reads as an empty one.
 
-    From JSON an image that is not a string reads as empty, too.
+    From JSON an image that is not a string reads as empty, too, and ``body_ok``
+    is false for a body that is not JSON at all.
     """
     if fmt == "json":
-        loose = LABEL_REQUEST.replace("image string", "image variant")
+        loose = LABEL_REQUEST.replace("image string", "image variant") + ", _broken string"
         image = F.when(F.schema_of_variant("image") == "STRING", F.col("image").cast("string"))
-        requests = spark.read.schema(loose).json(path).withColumn("image", image)
+        requests = (
+            spark.read.schema(loose)
+            .option("columnNameOfCorruptRecord", "_broken")
+            .json(path)
+            .withColumns({"image": image, "body_ok": F.col("_broken").isNull()})
+            .drop("_broken")
+        )
     else:
         requests = spark.read.schema(LABEL_REQUEST).format(fmt).load(path)
     return requests.withColumn("image", F.coalesce("image", F.lit("")))

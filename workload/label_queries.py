@@ -17,9 +17,8 @@ from twinlabel.operators.lookups import (
     lookup_join,
     unknown_provider_rows,
 )
-from twinlabel.plans.labelling import build_model_requests, label_two_stage
+from twinlabel.plans.labelling import build_model_requests, label_and_log, label_two_stage
 from twinlabel.session import work_dir
-from twinlabel.sources.writers import append_result_log
 
 from .bindings import (
     PACKS_SQL,
@@ -180,8 +179,8 @@ def model_requests(spark, sf_dir):
     )
 
 
-def _labelled(spark, sf_dir):
-    return label_two_stage(
+def _label_inputs(spark, sf_dir):
+    return (
         as_requests(texts(spark, sf_dir, "documents")),
         packs(spark, sf_dir),
         core_text(spark, sf_dir),
@@ -190,6 +189,10 @@ def _labelled(spark, sf_dir):
     )
 
 
+def _labelled(spark, sf_dir):
+    return label_two_stage(*_label_inputs(spark, sf_dir))
+
+
 @query(f"""
   SELECT doc_id, status, error,
          CASE WHEN status = 200 OR error LIKE 'identification%' THEN routed END AS routed_category,
@@ -227,7 +230,7 @@ def reroute_matrix(spark, sf_dir):
 def result_log(spark, sf_dir):
     """Every result appended to the log table and read back."""
     path = work_dir(spark, "log")
-    append_result_log(_labelled(spark, sf_dir), path)
+    label_and_log(*_label_inputs(spark, sf_dir), log=path)
     log = spark.read.parquet(path)
     value = T.parse_json(F.col("full_text"))
     return log.groupBy(field(value, "$.provider", "string").alias("provider")).agg(
