@@ -13,6 +13,7 @@ MODULES = (
     "evaluation_queries",
     "comparison_queries",
     "page_queries",
+    "source_queries",
     "stream_queries",
 )
 
