@@ -191,10 +191,13 @@ def test_gated_run_open_and_report(spark, tmp_path):
     header = report_header(dataset_header(data), report, "m", gated=True)
     h = header.first()
     assert (h.preflight, h.failures, h.passed, h.dataset_version) == ("passed_all_images", 1, False, "v1")
-    write_eval_report(header, report, str(tmp_path / "out"), "json")
+    write_eval_report(report, lambda cases: report_header(dataset_header(data), cases, "m", gated=True),
+                      str(tmp_path / "out"), "json")
+    written = json.loads("".join(p.read_text() for p in (tmp_path / "out/header").glob("*.json")))
+    assert written["preflight"] == "passed_all_images" and written["failures"] == 1
     text = "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "out/cases").glob("*.json"))
     assert text.count("\n") == 4 and "球閥" in text
-    write_eval_report(header, report, str(tmp_path / "pq"))
+    write_eval_report(report, lambda cases: header, str(tmp_path / "pq"))
     assert spark.read.parquet(str(tmp_path / "pq/cases")).count() == 4
 
 

@@ -66,7 +66,7 @@ def first_text_part(body: Column) -> Column:
     return F.get(texts, F.lit(0)).cast("string")
 
 
-def _content_items(body: Column) -> Column:
+def content_items(body: Column) -> Column:
     """Shape R: content items of all output items; a missing or null content adds nothing."""
     items = F.coalesce(field(body, "$.output", "array<variant>"), F.array().cast("array<variant>"))
     return F.flatten(
@@ -86,22 +86,25 @@ def _is_output_text(item: Column) -> Column:
 
 def first_output_text(body: Column) -> Column:
     """Shape R: text of the first ``output_text`` item; null unless that text is a string."""
-    first = F.get(F.filter(_content_items(body), _is_output_text), F.lit(0))
+    first = F.get(F.filter(content_items(body), _is_output_text), F.lit(0))
     text = field(first, "$.text")
     return F.when(is_string(text), text.cast("string"))
 
 
-def all_output_text(body: Column) -> Column:
+def all_output_text(body: Column, found: Column | None = None) -> Column:
     """Shape R: every ``output_text`` joined in order without separator.
 
+    ``found`` may hand over ``content_items(body)`` where it is a column already.
+
     Null when the body breaks the shape: not an object, ``output`` or a
     ``content`` present but not a list, a text present but not a string.
     An absent ``output``, ``content`` or ``text`` counts as empty.
     """
+    found = content_items(body) if found is None else found
     output = field(body, "$.output")
     items = field(body, "$.output", "array<variant>")
     texts = F.transform(
-        F.filter(_content_items(body), _is_output_text), lambda i: field(i, "$.text")
+        F.filter(found, _is_output_text), lambda i: field(i, "$.text")
     )
     broken = (
         ~is_object(body)
@@ -115,7 +118,7 @@ def all_output_text(body: Column) -> Column:
             ),
             F.lit(False),
         )
-        | F.exists(_content_items(body), lambda c: ~is_object(c))
+        | F.exists(found, lambda c: ~is_object(c))
         | F.exists(texts, lambda t: t.isNotNull() & ~is_string(t))
     )
     return F.when(

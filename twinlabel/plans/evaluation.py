@@ -15,6 +15,7 @@ from ..functions.nested import spec_or_empty, spec_side_by_side
 from ..functions.replies import (
     all_output_text,
     answer_or_empty,
+    content_items,
     field,
     is_object,
     parse_json,
@@ -28,7 +29,7 @@ from ..functions.text import (
     truncate_text,
     upstream_error,
 )
-from ..operators.folds import run_verdict
+from ..operators.folds import failure_count
 from ..operators.joins import all_pass, hot_key_join, last_of_each
 from ..operators.reports import case_projection_gated, case_projection_isolated
 
@@ -44,7 +45,9 @@ def read_reply(replies: DataFrame) -> DataFrame:
     return (
         replies.select("id", "http_status", "body")
         .withColumn("_body", parse_json(F.col("body")))
-        .withColumn("_text", strip_code_fence(all_output_text(F.col("_body"))))
+        .withColumn("_items", content_items(F.col("_body")))
+        .withColumn("_joined", all_output_text(F.col("_body"), F.col("_items")))
+        .withColumn("_text", strip_code_fence(F.col("_joined")))
         .withColumn("_value", parse_json(F.col("_text")))
         .select(
             "id",
@@ -237,22 +240,20 @@ def evaluate_gated(cases: DataFrame, images: DataFrame, replies: DataFrame) -> D
 
 
 def report_header(header: DataFrame, report: DataFrame, model: str, gated: bool) -> DataFrame:
-    """One row: dataset version, model, preflight verdict (gated runs) and failures."""
-    verdict = run_verdict(report)
-    preflight = F.lit(None).cast("string")
-    if gated:
-        held = report.agg(
-            F.bool_or(F.col("api_status") == "skipped_global_preflight").alias("held")
-        ).scalar()
-        preflight = F.when(F.coalesce(held, F.lit(False)), "failed_no_api_calls_made").otherwise(
-            "passed_all_images"
-        )
-    return header.select(
+    """One row: dataset version, model, preflight verdict (gated runs) and failures.
+
+    Reads only the statuses of the report, once; give it the written report.
+    """
+    status = F.col("api_status")
+    held = F.coalesce(F.bool_or(status == "skipped_global_preflight"), F.lit(False))
+    counts = report.agg(F.struct(failure_count(status).alias("failures"), held.alias("held")))
+    verdict = F.col("_verdict")
+    preflight = F.when(verdict["held"], "failed_no_api_calls_made").otherwise("passed_all_images")
+    return header.withColumn("_verdict", counts.scalar()).select(
         F.col("version").alias("dataset_version"),
         F.lit(model).alias("model"),
         F.lit(False).alias("generated_images_used"),
-        preflight.alias("preflight"),
-        verdict.select("failures").scalar().alias("failures"),
-        verdict.select("passed").scalar().alias("passed"),
+        (preflight if gated else F.lit(None).cast("string")).alias("preflight"),
+        verdict["failures"].alias("failures"),
+        (verdict["failures"] == 0).alias("passed"),
     )
-

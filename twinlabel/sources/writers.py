@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,13 +11,24 @@ from ..constants import LOG_TEXT_CHARS
 from ..functions.text import truncate_text
 
 
-def write_eval_report(header: DataFrame, report: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Header row and case rows side by side below ``path``.  JSON keeps non-ASCII as it is."""
-    for name, df in (("header", header), ("cases", report)):
-        writer = df.write.mode("overwrite")
+def write_eval_report(report: DataFrame, make_header: Callable[[DataFrame], DataFrame], path: str,
+                      fmt: str = "parquet") -> None:
+    """Case rows and a header row side by side below ``path``.
+
+    The cases are written first and ``make_header`` is given them as written, so
+    the evaluation runs once.  JSON keeps non-ASCII as it is.
+    """
+    spark = report.sparkSession
+
+    def write(df: DataFrame, name: str) -> None:
+        writer = df.write.mode("overwrite").format(fmt)
         if fmt == "json":
             writer = writer.option("encoding", "UTF-8").option("ignoreNullFields", "false")
-        writer.format(fmt).save(f"{path}/{name}")
+        writer.save(f"{path}/{name}")
+
+    write(report, "cases")
+    written = spark.read.schema(report.schema).format(fmt).load(f"{path}/cases")
+    write(make_header(written), "header")
 
 
 def log_rows(results: DataFrame, payload: str = "payload") -> DataFrame:

@@ -18,9 +18,13 @@ from ..operators.folds import latest_result
 from ..plans.labelling import ClientFactory, label_two_stage
 
 
+AVAILABLE_NOW = {"availableNow": True}
+
+
 def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "append",
-                  partition_by: Iterable[str] = ()) -> StreamingQuery:
-    """Run everything available now; each micro-batch lands in ``path/batch=<n>``."""
+                  partition_by: Iterable[str] = (),
+                  trigger: Mapping = AVAILABLE_NOW) -> StreamingQuery:
+    """Each micro-batch lands in ``path/batch=<n>``; by default all there is, then stop."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/batch={number}")
@@ -29,14 +33,15 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .foreachBatch(write)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
 
 def label_stream(requests: DataFrame, packs: DataFrame, core: DataFrame,
                  factories: Mapping[str, ClientFactory], work: str, checkpoint: str,
-                 max_clients: int | None = None) -> StreamingQuery:
+                 max_clients: int | None = None,
+                 trigger: Mapping = AVAILABLE_NOW) -> StreamingQuery:
     """Label requests as they arrive.
 
     Results and rejects land below ``work/out/batch=<n>/outcome=labelled`` and
@@ -59,7 +64,7 @@ def label_stream(requests: DataFrame, packs: DataFrame, core: DataFrame,
     return (
         requests.writeStream.option("checkpointLocation", checkpoint)
         .foreachBatch(label)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 

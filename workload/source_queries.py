@@ -156,7 +156,7 @@ def eval_report(spark, sf_dir):
     version = F.concat(F.lit("labels-"), F.count("*").cast("string")).alias("version")
     header = table(spark, sf_dir, "labels").agg(version)
     report = evaluate_isolated(*cases_and_facts(spark, sf_dir))
-    write_eval_report(report_header(header, report, "stub", gated=False), report, path)
+    write_eval_report(report, lambda cases: report_header(header, cases, "stub", gated=False), path)
     cases = spark.read.parquet(f"{path}/cases").groupBy("api_status").agg(
         F.count("*").alias("cases")
     )
