@@ -17,6 +17,7 @@ from twinlabel.operators.lookups import (
     lookup_join,
     unknown_provider_rows,
 )
+from twinlabel.plans import labelling
 from twinlabel.plans.comparison import result_sections
 from twinlabel.plans.labelling import build_model_requests, label_and_log, label_two_stage
 from twinlabel.sources.readers import (
@@ -219,9 +220,9 @@ def test_request_bodies(spark):
 def test_sources(spark, tmp_path):
     for name in ("fasteners", "plumbing", "electrical", "building-hardware", "general-repair"):
         (tmp_path / "ref" / name).mkdir(parents=True)
-        (tmp_path / "ref" / name / "knowledge.md").write_text(f"# {name}\nline 二\n", encoding="utf-8")
+        (tmp_path / "ref" / name / "notes.md").write_text(f"# {name}\nline 二\n", encoding="utf-8")
     (tmp_path / "ref/core").mkdir()
-    (tmp_path / "ref/core/identification-principles.md").write_text("core\ntext")
+    (tmp_path / "ref/core/principles.md").write_text("core\ntext")
     packs = {r.category: r.text for r in read_reference_packs(spark, str(tmp_path / "ref")).collect()}
     assert set(packs) == set(CATEGORIES) and packs["unknown"] == packs["general-repair"]
     assert packs["plumbing"] == "# plumbing\nline 二\n"
@@ -270,3 +271,9 @@ def test_replies_of_finished_tasks_survive_a_failed_job(spark, packs, core, tmp_
     assert done.where("status = 200").count() == 40
     made = [p.name for p in calls.iterdir() if p.name.startswith("category_routing")]
     assert len(made) == 40 - kept
+
+
+def test_speculation_is_reported(spark, packs, core, tmp_path, monkeypatch):
+    monkeypatch.setattr(labelling, "speculates", lambda _: True)
+    with pytest.warns(UserWarning, match="speculation"):
+        label_two_stage(requests(spark, ROWS[5:6]), packs, core, {}, str(tmp_path / "w"))

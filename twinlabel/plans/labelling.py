@@ -9,6 +9,7 @@ job nor a rerun pays for a finished call again.
 from __future__ import annotations
 
 import uuid
+import warnings
 from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import pandas as pd
@@ -80,6 +81,11 @@ def call_clients(calls: DataFrame, factories: Mapping[str, ClientFactory], stage
     return calls.select(*_CALL_COLUMNS).mapInPandas(run, STORED_REPLY)
 
 
+def speculates(spark: SparkSession) -> bool:
+    """Whether Spark may run a second copy of a slow task, and so repeat its calls."""
+    return spark.conf.get("spark.speculation", "false") == "true"
+
+
 def _run_folder(work: str) -> str:
     """A folder of this run's own: what an earlier run returned stays readable."""
     return f"{work}/run-{uuid.uuid4().hex}"
@@ -210,6 +216,8 @@ def label_two_stage(requests: DataFrame, packs: DataFrame, core: DataFrame,
     times, to check and hash them and for each stage's calls, and never pass
     through any other join; all other steps run on narrow written tables.
     """
+    if speculates(requests.sparkSession):
+        warnings.warn("spark.speculation is on: slow model calls will be made twice", stacklevel=2)
     run = _run_folder(work)
     facts = _written(
         prepare_requests(requests, factories).select(
