@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import contamination
 from .exact_dedup import exact_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +38,32 @@ ORACLE["op3_exact_dedup"] = f"""
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of all documents."""
     return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+_SQL_WORDS = (
+    r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+).format(SQL_LOWER.format("coalesce(text, '')"))
+
+ORACLE["op7_benchmark_decontamination"] = f"""
+  WITH d AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
+  b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_SQL_WORDS} AS w FROM benchmark),
+  ph AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS p
+         FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i
+               FROM b WHERE len(w) > 0)),
+  st AS (SELECT doc_id, s, k.n, array_to_string(w[s:s + k.n - 1], ' ') AS p
+         FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS s FROM d)
+         JOIN (SELECT DISTINCT n FROM ph) k ON s + k.n - 1 <= len(w)),
+  m AS (SELECT doc_id, s, st.n, item FROM st JOIN ph USING (n, p)),
+  h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit
+        FROM (SELECT doc_id, unnest(range(s, s + n)) AS pos FROM m) GROUP BY doc_id),
+  i AS (SELECT doc_id, count(DISTINCT item) AS n_items,
+               string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY doc_id)
+  SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+         sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+  FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)"""
+
+
+@query
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of benchmark items in all documents."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
