@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import contamination
 from .exact_dedup import exact_duplicates
+from .url_filter import DAMPING, ROUNDS, RULES, THRESHOLD, judged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -67,3 +68,65 @@ ORACLE["op7_benchmark_decontamination"] = f"""
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of benchmark items in all documents."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _sql_pagerank(name: str, source: str, target: str, seed: str) -> str:
+    """CTEs ``{name}0`` to ``{name}{ROUNDS}``: scores after each round."""
+    steps = f"""
+  {name}s AS (SELECT {source} AS source, {target} AS target,
+                     weight / sum(weight) OVER (PARTITION BY {source}) AS share FROM links
+              UNION ALL SELECT host, host, 1.0
+              FROM (SELECT {target} AS host FROM links UNION SELECT host FROM hosts)
+              WHERE host NOT IN (SELECT {source} FROM links)),
+  {name}0 AS (SELECT host, {seed} AS score FROM hosts WHERE {seed} > 0)"""
+    for i in range(ROUNDS):
+        steps += f""",
+  {name}{i + 1} AS (SELECT host, sum(score) AS score FROM (
+    SELECT target AS host, {DAMPING} * score * share AS score
+    FROM {name}{i} JOIN {name}s ON host = source
+    UNION ALL SELECT host, (1 - {DAMPING}) * score FROM {name}0) GROUP BY host)"""
+    return steps
+
+
+def _sql_rules() -> str:
+    longest = sorted(RULES, key=lambda r: (-len(r[0] + r[1]), -len(r[0]), r[2] != "block"))
+    return " ".join(
+        f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}') "
+        f"THEN '{host}{path} {verdict}'"
+        for host, path, verdict in longest
+    )
+
+
+_SQL_HOST = SQL_LOWER.format(r"regexp_extract({}, '^[^/?#]*')")
+
+ORACLE["op10_url_filter"] = rf"""
+  WITH u AS (SELECT page_id, html, CASE WHEN position('://' IN url) > 0
+               THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+  p AS (SELECT page_id, html, {_SQL_HOST.format("rest")} AS host,
+               regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+  r AS (SELECT *, CASE {_sql_rules()} END AS hit FROM p),
+  hosts AS (SELECT host, count(*) FILTER (hit LIKE '% allow') AS allowed,
+                   count(*) FILTER (hit LIKE '% block') AS blocked
+            FROM r WHERE host <> '' GROUP BY host),
+  l AS (SELECT host AS source, unnest(regexp_extract_all(
+          coalesce(html, ''), '(?i)href\s*=\s*["'']?([^"''\s>]*)', 1)) AS link FROM p),
+  t AS (SELECT source, CASE WHEN regexp_matches(link, '^(?i)https?://')
+                 THEN {_SQL_HOST.format("substr(link, position('://' IN link) + 3)")}
+               WHEN starts_with(link, '//') THEN {_SQL_HOST.format("substr(link, 3)")}
+               WHEN NOT regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN source END AS target
+        FROM l),
+  links AS (SELECT source, target, CAST(count(*) AS DOUBLE) AS weight FROM t
+            WHERE source <> '' AND target <> '' GROUP BY ALL),
+  {_sql_pagerank("t", "source", "target", "allowed")},
+  {_sql_pagerank("d", "target", "source", "blocked")}
+  SELECT page_id, r.host, path, split_part(hit, ' ', 1) AS rule,
+         CASE WHEN hit IS NOT NULL THEN split_part(hit, ' ', 2)
+              WHEN coalesce(d.score, 0) > {THRESHOLD} * (coalesce(d.score, 0) + coalesce(t.score, 0))
+              THEN 'block' ELSE 'allow' END AS verdict
+  FROM r LEFT JOIN t{ROUNDS} t ON t.host = r.host LEFT JOIN d{ROUNDS} d ON d.host = r.host"""
+
+
+@query
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and link trust over the urls of all pages."""
+    return judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
