@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import contamination
 from .exact_dedup import exact_duplicates
+from .simhash_dedup import near_duplicates
 from .url_filter import DAMPING, ROUNDS, RULES, THRESHOLD, judged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +131,9 @@ ORACLE["op10_url_filter"] = rf"""
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and link trust over the urls of all pages."""
     return judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-equal fingerprints over all documents."""
+    return near_duplicates(table(spark, sf_dir, "documents"))

@@ -78,7 +78,7 @@ def host_links(pages: DataFrame) -> DataFrame:
     """(source, target, weight): links between hosts; a relative link stays on its host."""
     href = F.split(F.coalesce(F.col("html"), F.lit("")), r"""(?i)href\s*=\s*["']?""", -1)
     targets = F.transform(
-        F.slice(href, 2, 2**31 - 1), lambda part: F.regexp_extract(part, r"""^[^"'\s>]*""", 0)
+        F.slice(href, 2, F.size(href)), lambda part: F.regexp_extract(part, r"""^[^"'\s>]*""", 0)
     )
     link = F.trim("link")
     target = (
