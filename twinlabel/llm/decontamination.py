@@ -69,6 +69,8 @@ def rarest_terms(tokens: DataFrame, phrases: DataFrame, terms: int = RAREST_TERM
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("frequency"))
     )
+    # A word that stands in most phrases would gather them all in a shuffled join.
+    counts = small(written(counts, "term-counts"))
     phrase = Window.partitionBy("phrase")
     ranked = places.join(counts, "term", "left").withColumns(
         {

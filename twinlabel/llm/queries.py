@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import contamination
 from .exact_dedup import exact_duplicates
+from .language_id import languages
 from .simhash_dedup import near_duplicates
+from .toxicity import toxicity
 from .url_filter import DAMPING, ROUNDS, RULES, THRESHOLD, judged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +139,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-equal fingerprints over all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents."""
+    return languages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
