@@ -25,13 +25,13 @@ from .subwords import WordTable, bags, blocks, incidence, summed, words
 
 # Bounds of the sample: labelled rows per class, and characters of a text in it.
 SAMPLE_ROWS = 1000
-SAMPLE_CHARS = 6000
+SAMPLE_CHARS = 3000
 
 NGRAMS = (3, 4, 5)
 BUCKETS = 1 << 16
 DIMENSIONS = 8
-STRETCH_WORDS = 8
-EPOCHS = 40
+STRETCH_WORDS = 5
+EPOCHS = 30
 # Epochs in which whole texts are averaged, before their worst stretches are.
 WHOLE_EPOCHS = 8
 TOXIC_FROM = 0.7
@@ -134,7 +134,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 5) -> Model:
             part = use[at : at + (1 << 18)]
             np.add.at(down, feature[part], to_word[word[part]])
         seen_v += (down**2).mean(1)
-        vectors -= 0.5 * down / np.sqrt(seen_v)[:, None]
+        vectors -= 2.0 * down / np.sqrt(seen_v)[:, None]
         turn = mean.T @ slope
         seen_s += turn**2
         softmax -= 0.1 * turn / np.sqrt(seen_s)
