@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import configure
 from .decontamination import contamination
 from .exact_dedup import exact_duplicates
 from .language_id import languages
+from .repeat_removal import without_repeats
 from .simhash_dedup import near_duplicates
 from .toxicity import toxicity
 from .url_filter import DAMPING, ROUNDS, RULES, THRESHOLD, judged
@@ -18,7 +21,11 @@ ORACLE: dict[str, str] = {}
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(configure(spark), sf_dir)
+
+    QUERIES[fn.__name__] = run
     return fn
 
 
@@ -151,3 +158,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that long repeated strings cover."""
+    return without_repeats(table(spark, sf_dir, "documents"))
