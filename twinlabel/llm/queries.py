@@ -15,6 +15,7 @@ from .repeat_removal import without_repeats
 from .simhash_dedup import near_duplicates
 from .toxicity import toxicity
 from .url_filter import DAMPING, ROUNDS, RULES, THRESHOLD, judged
+from .warc import archived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -164,3 +165,19 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of all documents that long repeated strings cover."""
     return without_repeats(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op4_warc"] = """
+  WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+  f AS (SELECT html, min(page_id) AS least FROM p GROUP BY html)
+  SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest,
+         CASE WHEN strlen(html) >= 100 AND page_id <> least THEN 'revisit' ELSE 'response' END
+           AS record_type,
+         CASE WHEN strlen(html) >= 100 AND page_id <> least THEN least END AS refers_to
+  FROM p JOIN f USING (html)"""
+
+
+@query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back through the capture index."""
+    return archived(table(spark, sf_dir, "pages"))
