@@ -11,6 +11,7 @@ from ..session import configure
 from .decontamination import contamination
 from .exact_dedup import exact_duplicates
 from .language_id import languages
+from .mixing import mixed
 from .repeat_removal import without_repeats
 from .simhash_dedup import near_duplicates
 from .toxicity import toxicity
@@ -181,3 +182,9 @@ ORACLE["op4_warc"] = """
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives and read back through the capture index."""
     return archived(table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots of all documents in a mix of their sources."""
+    return mixed(table(spark, sf_dir, "documents"))
