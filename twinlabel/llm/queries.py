@@ -12,6 +12,7 @@ from .decontamination import contamination
 from .exact_dedup import exact_duplicates
 from .language_id import languages
 from .mixing import mixed
+from .passages import shared_passages
 from .repeat_removal import without_repeats
 from .simhash_dedup import near_duplicates
 from .toxicity import toxicity
@@ -188,3 +189,9 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slots of all documents in a mix of their sources."""
     return mixed(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fuzzy passages that documents share."""
+    return shared_passages(table(spark, sf_dir, "documents"))

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chaining import sliding_min
 from .common import pick, with_row_key, written
 from .suffix_array import maximal_repeats
 
@@ -51,25 +52,13 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return value
 
 
-def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of every ``width`` values in a row."""
-    blocks = -(-len(values) // width)
-    padded = np.full(blocks * width, np.iinfo(np.uint64).max, dtype=np.uint64)
-    padded[: len(values)] = values
-    table = padded.reshape(blocks, width)
-    up_to = np.minimum.accumulate(table, axis=1).ravel()
-    down_to = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
-    count = len(values) - width + 1
-    return np.minimum(down_to[:count], up_to[width - 1 : width - 1 + count])
-
-
 def _runs_of(data: np.ndarray, ends: np.ndarray, least: int):
     """(start, count, gram) of the runs in texts laid end to end, ``ends`` where each ends."""
     if len(data) < least:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
     grams = _gram_hashes(data)
     keyed = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
-    chosen = (_sliding_min(keyed, least - GRAM + 1) & _PLACE).astype(np.int64)
+    chosen = (sliding_min(keyed, least - GRAM + 1) & _PLACE).astype(np.int64)
     starts = np.arange(len(chosen))
     text = np.searchsorted(ends, starts, side="right")
     valid = starts + least <= ends[text]
