@@ -11,12 +11,15 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
-# Characters that count as word characters for the regular expression engine but are
-# neither letters nor decimal digits, such as fractions and letter numbers.
-_NUMERALS = "".join(
-    chr(c) for c in range(0x110000) if chr(c).isnumeric() and not chr(c).isalpha() and not chr(c).isdecimal()
-)
-WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+WORD = re.compile(r"[^\W\d_]+")
+# Word characters of the regular expression engine that are neither letters nor decimal
+# digits, such as fractions and letter numbers; they separate words.
+_NUMERALS = {
+    c: " "
+    for c in range(0x110000)
+    if chr(c).isnumeric() and not chr(c).isalpha() and not chr(c).isdecimal()
+}
+_NUMERAL_CHARS = frozenset(map(chr, _NUMERALS))
 
 # Characters of text whose words are held at once, and words whose values are remembered.
 BLOCK_CHARS = 1_500_000
@@ -28,7 +31,11 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 def words(text: str | None) -> list[str]:
     """Runs of letters, in lower case."""
-    return WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    if not text.isascii() and not _NUMERAL_CHARS.isdisjoint(text):
+        text = text.translate(_NUMERALS)
+    return WORD.findall(text.lower())
 
 
 def incidence(vocabulary: list[str], sizes: Iterable[int], buckets: int):
@@ -90,7 +97,7 @@ class WordTable:
         if len(self._row) > TABLE_WORDS:
             self._forget()
         row = self._row
-        fresh = [w for w in dict.fromkeys(tokens) if w not in row]
+        fresh = list(dict.fromkeys(tokens).keys() - row.keys())
         if fresh:
             row.update(zip(fresh, range(len(row), len(row) + len(fresh))))
             self._values = np.concatenate([self._values, self._compute(fresh)])
