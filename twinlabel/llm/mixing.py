@@ -60,12 +60,18 @@ def whole_weights(shares: list[float], resolution: int = RESOLUTION) -> list[int
     of sources if that is more, by largest remainders."""
     slots = max(resolution, len(shares))
     total = math.fsum(shares)
-    spare = slots - len(shares)
-    exact = [share / total * spare if total else spare / len(shares) for share in shares]
-    weights = [1 + math.floor(x) for x in exact]
+    exact = [(share / total if total else 1 / len(shares)) * slots for share in shares]
+    weights = [max(1, math.floor(x)) for x in exact]
     order = sorted(range(len(shares)), key=lambda i: (math.floor(exact[i]) - exact[i], i))
-    for i in order[: slots - sum(weights)]:
+    for i in order[: max(0, slots - sum(weights))]:
         weights[i] += 1
+    # What the sources raised to one slot have taken comes off the largest.
+    heap = [(-w, i) for i, w in enumerate(weights)]
+    heapq.heapify(heap)
+    for _ in range(sum(weights) - slots):
+        w, i = heap[0]
+        weights[i] -= 1
+        heapq.heapreplace(heap, (w + 1, i))
     return weights
 
 
