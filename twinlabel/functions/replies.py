@@ -140,7 +140,8 @@ def python_text(value: Column) -> Column:
         is_null_or_absent(value)
         | ((kind == "BOOLEAN") & (text == "false"))
         | (kind.isin("BIGINT", "DECIMAL", "DOUBLE") & (text.try_cast("double") == 0))
-        | text.isin("[]", "{}")
+        | (kind.startswith("ARRAY") & (text == "[]"))
+        | (kind.startswith("OBJECT") & (text == "{}"))
     )
     return (
         F.when(falsy, F.lit(""))

@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import (
-    ERROR_BODY_CHARS,
     JAVASCRIPT_SPACE,
     NAME_OVERLAP,
     NAME_SEPARATOR,
@@ -99,7 +98,10 @@ def error_text(kind: Column, message: Column) -> Column:
 
 
 def upstream_error(http_status: Column, code: Column, message: Column) -> Column:
-    """Error text of a reply outside 200..299; null for a good one."""
+    """Error text of a reply outside 200..299, whole; null for a good one.
+
+    A log line may cut it with ``truncate_text``.
+    """
     text = F.concat_ws(" ", F.concat(F.lit("HTTP "), http_status.cast("string"), F.lit(":")),
                        F.coalesce(code, F.lit("None")), F.coalesce(message, F.lit("None")))
-    return F.when(~http_status.between(200, 299), truncate_text(text, ERROR_BODY_CHARS))
+    return F.when(~http_status.between(200, 299), text)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import ABSENT_SPEC, ERROR_BODY_CHARS
+from ..constants import ABSENT_SPEC
 from ..functions.nested import spec_or_empty, spec_side_by_side
 from ..functions.replies import (
     all_output_text,
@@ -26,7 +26,6 @@ from ..functions.text import (
     strip_code_fence,
     token_overlap_match,
     token_set,
-    truncate_text,
     upstream_error,
 )
 from ..operators.folds import failure_count
@@ -64,7 +63,7 @@ def read_reply(replies: DataFrame) -> DataFrame:
             .when(F.col("_text") == "", F.lit("empty_reply: no text"))
             .when(
                 F.col("_value").isNull(),
-                truncate_text(F.concat(F.lit("bad_json: "), F.col("_text")), ERROR_BODY_CHARS),
+                F.concat(F.lit("bad_json: "), F.col("_text")),
             )
             .alias("api_error"),
             F.when(F.col("http_status").between(200, 299), F.col("_value")).alias("ai_response"),

@@ -11,17 +11,6 @@ from ..functions.images import file_format
 from ..schemas import DATASET, LABEL_REQUEST, MODEL_REPLY, PAGE
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when a scan has fewer partitions than there are cores.
-
-    That happens to small inputs only (few files, few row groups), so what is
-    shuffled is bounded by cores times partition size; a large scan already has
-    more partitions than cores and is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_eval_dataset(spark: SparkSession, *paths: str) -> DataFrame:
     """Whole JSON documents, one row each: header fields and ``cases``."""
     return (

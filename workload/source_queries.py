@@ -25,7 +25,7 @@ from .bindings import (
     packs,
     stub_clients,
 )
-from .registry import query, table, texts
+from .registry import query, table
 
 
 @query(f"""
@@ -37,7 +37,7 @@ from .registry import query, table, texts
 def read_requests(spark, sf_dir):
     """Requests landed as JSON; those of one provider carry an image that is not a string."""
     path = work_dir(spark, "requests")
-    landed = as_requests(texts(spark, sf_dir, "documents"))
+    landed = as_requests(table(spark, sf_dir, "documents"))
     image = F.when(F.col("provider") == "other", F.parse_json(F.lit("[5]"))).otherwise(
         F.col("image").cast("variant")
     )
@@ -58,7 +58,7 @@ def read_requests(spark, sf_dir):
 def read_replies(spark, sf_dir):
     """Reply bodies of both shapes landed as JSON, read back and reduced to their text."""
     path = work_dir(spark, "replies")
-    turns = texts(spark, sf_dir, "conversations")
+    turns = table(spark, sf_dir, "conversations")
     error = F.struct(F.col("role").alias("message")).alias("error")
     shape_g = F.to_json(F.struct(
         F.array(F.struct(F.struct(F.array(F.struct("text")).alias("parts")).alias("content")))
@@ -128,7 +128,7 @@ def _label_sql(column: str) -> str:
 def result_cards(spark, sf_dir):
     """The sections shown for every labelled document; empty lists are left out."""
     labelled = label_two_stage(
-        as_requests(texts(spark, sf_dir, "documents")), packs(spark, sf_dir),
+        as_requests(table(spark, sf_dir, "documents")), packs(spark, sf_dir),
         core_text(spark, sf_dir), stub_clients(), work_dir(spark, "cards"),
     )
     return result_sections(labelled.where("status = 200")).select(
