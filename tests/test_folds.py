@@ -204,6 +204,24 @@ def test_stream_drops_repeats_inside_the_bound(spark, tmp_path):
     assert sorted(r.request_key for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["hot", "other"]
 
 
+def test_stream_keeps_requests_outside_the_bound(spark, tmp_path):
+    import datetime as dt
+
+    t = dt.datetime(2024, 1, 1)
+    rows = [("one", t + dt.timedelta(days=40 * i, minutes=m)) for i in range(4) for m in (0, 3, 9)]
+    df = spark.createDataFrame(rows, "request_key string, ts timestamp")
+    for files in (1, 3):
+        source = str(tmp_path / f"in{files}")
+        for n in range(files):
+            part = rows[n * 12 // files : (n + 1) * 12 // files]
+            spark.createDataFrame(part, df.schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        out = str(tmp_path / f"out{files}")
+        write_batches(drop_duplicate_requests(stream), out, str(tmp_path / f"cp{files}")).awaitTermination()
+        days = [(r.ts - t).days for r in spark.read.parquet(out).collect()]
+        assert sorted(days) == [0, 40, 80, 120]
+
+
 def test_label_stream_two_sinks(spark, tmp_path):
     from test_labelling import REQUEST, ROWS, factory
 

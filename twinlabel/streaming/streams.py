@@ -6,7 +6,7 @@ is replayed after a failure replaces its own output.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Iterable, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -82,25 +82,24 @@ def read_latest(spark, path: str, keys=("image_id", "provider"), order=("ts", "r
     return latest_result(written, keys, order)
 
 
-def _first_of_each(key: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for batch in batches:
-            yield batch.drop_duplicates(key)
-
-    return run
-
-
 def drop_duplicate_requests(requests: DataFrame, key: Iterable[str] = ("request_key",),
-                            ts: str = "ts", within: str = "10 minutes") -> DataFrame:
-    """Drop repeats of a request key inside the time bound.
-
-    The watermark only moves between micro-batches, so inside one a key
-    survives at most once.  Repeats are therefore dropped per Arrow batch ahead
-    of the shuffle, which keeps a hot key from reaching one task as a whole.
+                            ts: str = "ts", within: str = "10 minutes",
+                            late: str = "1 day") -> DataFrame:
+    """Keep one request per key and stretch of event time; stretches are ``within`` long and
+    start at multiples of it.
+
+    Requests further apart than ``within`` are never taken for repeats, and how the source
+    is cut into micro-batches does not change which (key, stretch) pairs have a request.
+    Repeats on either side of a stretch's end are both kept.  The state of a pair goes, and
+    a request is too late, once the newest ``ts`` is more than ``late`` ahead of it.
     """
-    keys = list(key)
-    thinned = requests.mapInPandas(_first_of_each(keys), requests.schema)
-    return thinned.withWatermark(ts, within).dropDuplicatesWithinWatermark(keys)
+    stretch = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (pd.Timedelta(within).value // 1000))
+    return (
+        requests.withColumn("_stretch", stretch)
+        .withWatermark(ts, late)
+        .dropDuplicatesWithinWatermark([*key, "_stretch"])
+        .drop("_stretch")
+    )
 
 
 def _newest(condition: Column, order: Column, value: Column) -> Column:

@@ -47,15 +47,24 @@ def stream_latest(spark, sf_dir):
 @query("""
   SELECT DISTINCT user_id, event_type, strftime(ts, '%Y-%m-%d %H') AS hour FROM events""")
 def stream_dedup(spark, sf_dir):
-    """Repeats of a user's request inside an hour are dropped."""
+    """Repeats of a user's request inside an hour are dropped, over several micro-batches in
+    order of time."""
     work = work_dir(spark, "stream-dedup")
-    requests = stream_table(spark, sf_dir, "events").select(
-        "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"),
-        F.date_format("ts", "yyyy-MM-dd HH").alias("hour"),
+    events = table(spark, sf_dir, "events").select(
+        "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")
     )
-    kept = drop_duplicate_requests(requests, ["user_id", "event_type", "hour"], "ts", "1 hour")
+    for low, high in ((1, 10), (11, 20), (21, 31)):
+        part = events.where(F.dayofmonth("ts").between(low, high))
+        part.coalesce(1).write.mode("append").parquet(f"{work}/in")
+    requests = (
+        spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+        .parquet(f"{work}/in")
+    )
+    kept = drop_duplicate_requests(requests, ["user_id", "event_type"], "ts", "1 hour")
     write_batches(kept, f"{work}/out", f"{work}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{work}/out").select("user_id", "event_type", "hour")
+    return spark.read.parquet(f"{work}/out").select(
+        "user_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH").alias("hour")
+    )
 
 
 @query(SESSION_STATE_SQL)
