@@ -273,6 +273,18 @@ def test_replies_of_finished_tasks_survive_a_failed_job(spark, packs, core, tmp_
     assert len(made) == 40 - kept
 
 
+def test_an_id_that_repeats_keeps_each_image_to_its_own_call(spark, packs, core, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    rows = [("same", "gemini", "GOOD"), ("same", "gemini", "EMPT"), ("same", "gemini", "GOOD")]
+    got = labelling.label_two_stage(
+        requests(spark, rows), packs, core, factory(str(calls)), str(tmp_path / "work")
+    ).collect()
+    assert sorted(r.status == 200 for r in got) == [False, True, True]
+    sent = sorted(c.name.rsplit("-", 1)[0] for c in calls.iterdir())
+    assert sent == ["category_routing-EMPT", "category_routing-GOOD", "item_identification-GOOD"]
+
+
 def test_speculation_is_reported(spark, packs, core, tmp_path, monkeypatch):
     monkeypatch.setattr(labelling, "speculates", lambda _: True)
     with pytest.warns(UserWarning, match="speculation"):

@@ -111,10 +111,12 @@ def answer_calls(calls: DataFrame, payloads: DataFrame, factories: Mapping[str,
                  stage: int, path: str, settled: str, max_clients: int | None = None) -> DataFrame:
     """Make the calls ``path`` has no success for, append them, return all replies.
 
-    ``calls``: request_id, call_key, provider, model, prompt; ``payloads``:
-    request_id, image, mime.  Equal calls are made once.  Which rows to send is
-    settled on narrow rows; payloads are shuffled once, by their unique id, into
-    as many tasks as there may be clients.
+    ``calls``: request_id, image_hash, call_key, provider, model, prompt;
+    ``payloads``: request_id, image, mime.  Equal calls are made once.  Which
+    rows to send is settled on narrow rows; payloads are shuffled once, into as
+    many tasks as there may be clients.  A call finds its payload by the id and
+    the hash of the image, so an id that repeats with another image never
+    lends it to this call.
     """
     spark = calls.sparkSession
     pending = calls.select("call_key", "request_id")
@@ -122,12 +124,16 @@ def answer_calls(calls: DataFrame, payloads: DataFrame, factories: Mapping[str,
         done = spark.read.schema(STORED_REPLY).parquet(path).where("reply_text is not null")
         pending = pending.join(done.select("call_key"), "call_key", "left_anti")
     chosen = pending.groupBy("call_key").agg(F.min("request_id").alias("request_id"))
-    narrow = calls.join(chosen.select("request_id"), "request_id", "left_semi")
+    narrow = calls.join(chosen, ["call_key", "request_id"], "left_semi")
+    by = ("request_id", "image_hash")
     width = max_clients or int(spark.conf.get("spark.sql.shuffle.partitions"))
     to_send = (
         payloads.select("request_id", "image", "mime")
-        .repartition(width, "request_id")
-        .join(narrow.repartition(width, "request_id"), "request_id")
+        .withColumn("image_hash", sha256(F.coalesce(F.col("image"), F.lit(""))))
+        .repartition(width, *by)
+        .join(narrow.repartition(width, *by), list(by))
+        # Rows that repeat an id and its image are one call; they are in one task already.
+        .dropDuplicates([*by, "call_key"])
     )
     # Version 2 publishes the files of each task as it ends, so the replies of finished
     # tasks survive a failed job; a reply published twice settles to one below.
