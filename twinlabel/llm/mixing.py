@@ -79,7 +79,8 @@ def _numbered(docs: DataFrame, carry: bool) -> tuple[DataFrame, DataFrame]:
     """Rows with their number inside their source, in the order of a hash of the id; and the
     number of rows per source."""
     rows = pick(docs, "doc_id", "source", carry=carry)
-    buckets = max(1, math.ceil(rows.count() / BUCKET_ROWS)) * 4
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(partitions, math.ceil(rows.count() / BUCKET_ROWS))
     rows = rows.withColumns(
         {
             "_mark": F.xxhash64("doc_id"),
