@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .chaining import sliding_min
 from .common import pick, with_row_key, written
-from .suffix_array import maximal_repeats
+from .suffix_array import longest_repeats
 
 LEAST = 400
 GRAM = 64
@@ -175,15 +175,26 @@ def _batch(columns: list[list], names: list[str]) -> pa.RecordBatch:
 
 
 def _search(least: int):
-    """Maximal repeats of the runs of each gram; all runs of a gram come in a row."""
+    """Spans that maximal repeats cover in the runs of each gram; all runs of a gram come in
+    a row."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        number, length, string, offset = maximal_repeats([r[3] for r in rows], least)
-        label = np.array([xxhash.xxh3_64_intdigest(rows[s][3][o : o + n]) for n, s, o in zip(length, string, offset)], dtype=np.uint64).view(np.int64)
-        column = lambda i: np.array([r[i] for r in rows], dtype=np.int64)[string]
+        _, length, string, offset = longest_repeats([r[3] for r in rows], least)
+        # Occurrences inside one run overlap heavily; a run gives the spans they cover.
+        order = np.lexsort((offset, string))
+        string, offset, end = string[order], offset[order], (offset + length)[order]
+        # Ends so far, run by run: a run's own are lifted above those of the runs before.
+        lift = string * (1 << 32)
+        reached = np.maximum.accumulate(end + lift)
+        fresh = np.append(True, (offset + lift)[1:] > reached[:-1])[: len(string)]
+        first = np.flatnonzero(fresh)
+        last = np.append(first[1:], len(string)) - 1
+        run_of, start = string[first], offset[first]
+        size = reached[last] - lift[last] - start
+        column = lambda i: np.array([r[i] for r in rows], dtype=np.int64)[run_of]
         return pa.RecordBatch.from_arrays(
-            [pa.array(c) for c in (label, length, column(0), column(1), column(2) + offset)],
-            names=["repeat", "length", "_key", "_hash", "start"],
+            [pa.array(c) for c in (size, column(0), column(1), column(2) + start)],
+            names=["length", "_key", "_hash", "start"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,12 +216,11 @@ def _search(least: int):
     return run
 
 
-def repeats(docs: DataFrame, least: int = LEAST, group_runs: int = GROUP_RUNS) -> DataFrame:
-    """(repeat, length, _key, _hash, start): maximal repeats of at least ``least`` bytes inside
-    runs, with all occurrences; ``repeat`` is a digest of the repeated bytes.
+def repeated_spans(docs: DataFrame, least: int = LEAST, group_runs: int = GROUP_RUNS) -> DataFrame:
+    """(length, _key, _hash, start): spans of a text that strings of ``least`` bytes cover
+    which also start elsewhere.
 
-    A run that occurs several times is one repeat.  A repeat longer than a run comes as
-    overlapping parts, each with its own occurrences.
+    Every span comes from one run, so that what is long comes as overlapping parts.
     """
     texts = with_row_key(pick(docs, "doc_id", "text")).select(
         "_key", "_hash", F.coalesce("text", F.lit("")).alias("text")
@@ -229,7 +239,6 @@ def repeats(docs: DataFrame, least: int = LEAST, group_runs: int = GROUP_RUNS) -
     )
     several = contents.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     whole = runs.join(contents.where("times > 1").select("gram", "content"), ["gram", "content"]).select(
-        F.col("content").alias("repeat"),
         (F.col("count") - 1 + least).alias("length"),
         "_key",
         "_hash",
@@ -247,12 +256,12 @@ def repeats(docs: DataFrame, least: int = LEAST, group_runs: int = GROUP_RUNS) -
         .select("gram", "_key", "_hash", "start", "bytes")
         .repartition("gram")
         .sortWithinPartitions("gram")
-        .mapInArrow(_search(least), "repeat long, length long, _key long, _hash long, start long")
+        .mapInArrow(_search(least), "length long, _key long, _hash long, start long")
     )
     strings = cut.where("large").select("gram", "digest", "times", "_key", "_hash", "start")
     again = strings.groupBy("gram", "digest").agg(F.sum("times").alias("n")).where("n > 1")
     dealt = strings.join(again.select("gram", "digest"), ["gram", "digest"]).select(
-        F.col("digest").alias("repeat"), F.lit(least).cast("long").alias("length"), "_key", "_hash", "start"
+        F.lit(least).cast("long").alias("length"), "_key", "_hash", "start"
     )
     return whole.unionByName(arrays).unionByName(dealt)
 
@@ -286,7 +295,7 @@ def without_repeats(docs: DataFrame, least: int = LEAST, group_runs: int = GROUP
     repeats all its strings.  An empty table gives no rows.
     """
     spans = (
-        repeats(docs, least, group_runs)
+        repeated_spans(docs, least, group_runs)
         .select("_key", "_hash", "start", (F.col("start") + F.col("length")).alias("end"))
         .groupBy("_key", "_hash", "start")
         .agg(F.max("end").alias("end"))

@@ -55,10 +55,20 @@ def _common(levels, symbols: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.
     return np.minimum(done, most)
 
 
-def maximal_repeats(strings: list[bytes], least: int):
+def longest_repeats(strings: list[bytes], least: int):
+    """(place, length, string, offset) arrays: the longest maximal repeat at every place that
+    has one."""
+    return maximal_repeats(strings, least, longest=True)
+
+
+def maximal_repeats(strings: list[bytes], least: int, longest: bool = False):
     """(repeat, length, string, offset) arrays: every substring of at least ``least`` bytes
     that starts at two places or more and cannot be extended to the left or right at all of
-    them, with all its places.  Repeats do not cross the ends of strings."""
+    them, with all its places.  Repeats do not cross the ends of strings.
+
+    Each repeat lists its places, so nested repeats list a place several times;
+    :func:`longest_repeats` lists each place once.
+    """
     sizes = np.fromiter((len(s) for s in strings), np.int64, len(strings))
     begin = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
     data = np.frombuffer(b"\0".join(strings) + b"\0", dtype=np.uint8).astype(np.int64) + 1
@@ -89,6 +99,14 @@ def maximal_repeats(strings: list[bytes], least: int):
         found += _intervals(common[first:last], before[first : last + 1], first)
     if not found:
         return none
+    if longest:
+        # Inner intervals come before those around them, so in reverse the inner ones win.
+        depth = np.zeros(len(places), dtype=np.int64)
+        for size, low, high in reversed(found):
+            depth[low:high] = size
+        at = np.flatnonzero(depth)
+        where = places[at]
+        return at, depth[at], owner[where], where - begin[owner[where]]
     number = np.repeat(np.arange(len(found)), [high - low for _, low, high in found])
     length = np.repeat([depth for depth, _, _ in found], [high - low for _, low, high in found])
     where = places[np.concatenate([np.arange(low, high) for _, low, high in found])]
