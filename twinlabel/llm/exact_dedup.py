@@ -40,6 +40,7 @@ def _normal(text: Column) -> Column:
 
 def _sorted_groups(docs: DataFrame, carry: bool) -> DataFrame:
     rows = pick(docs, "doc_id", "text", carry=carry)
+    text = f"_row._c{docs.columns.index('text')}" if carry else "text"
     digested = rows.withColumn("_digest", F.xxhash64(_normal(F.col("text"))))
     frequent = _frequent(digested.select("_digest"))
     dealt = (
@@ -53,9 +54,10 @@ def _sorted_groups(docs: DataFrame, carry: bool) -> DataFrame:
                 ).otherwise(0),
             }
         )
-        .drop("_pieces")
+        # A carried row has the text already.
+        .drop("_pieces", *(["text"] if carry else []))
         .repartitionByRange("_head", "_digest", "_piece")
-        .withColumn("_normal", _normal(F.col("text")))
+        .withColumn("_normal", _normal(F.col(text)))
     )
     equal = Window.partitionBy("_head", "_digest", "_piece", "_normal")
     by_id = equal.orderBy(F.col("doc_id").desc_nulls_last())

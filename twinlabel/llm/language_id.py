@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, pick, unpack
+from .common import bounded_batches, drawn, held_out, pick, unpack
 from .subwords import WordTable, bags, blocks, incidence, words
 
 # Bounds of the sample: rows per fit, and characters of a text that may take part.
@@ -172,13 +172,8 @@ def training_rows(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_
     labelled = pick(docs, "doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= chars)
     )
-    drawn = (
-        labelled.orderBy(F.xxhash64("doc_id"), F.xxhash64("text"), "lang")
-        .limit(rows)
-        .select("text", "lang")
-        .take(rows)
-    )
-    return [r["text"] for r in drawn], [r["lang"] for r in drawn]
+    sample = drawn(labelled, rows, "doc_id", "text", "lang").select("text", "lang").take(rows)
+    return [r["text"] for r in sample], [r["lang"] for r in sample]
 
 
 def predictor(field: Field | None):
@@ -220,6 +215,7 @@ def languages(docs: DataFrame) -> DataFrame:
     there is nothing to learn from.  Learned from text and lang of rows that are not held
     out.  Repeated rows get equal results; an empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     predict = predictor(fit(*training_rows(docs)))
     rows = pick(docs, "doc_id", "text").select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), predict("text").alias("p")
@@ -229,6 +225,7 @@ def languages(docs: DataFrame) -> DataFrame:
 
 def in_some_language(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of ``docs`` whose language is told with at least ``min_score``."""
+    bounded_batches(docs.sparkSession)
     predict = predictor(fit(*training_rows(docs)))
     rows = pick(docs, "text", carry=True).withColumn("p", predict("text"))
     certain: Column = (F.col("p.lang") != UNDETERMINED) & (F.col("p.score") >= min_score)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, pick, small, unpack, with_row_key, written
+from .common import ascii_lower, drawn, pick, small, unpack, with_row_key, written
 from .components import components
 from .vantage import Forest, near_pairs, shards_of, top_tree
 
@@ -94,7 +94,7 @@ def links(points: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     levels = min(MAX_LEVELS, max(1, math.ceil(math.log2(max(count / SHARD_POINTS, 2)))))
     bound = SAMPLE_PER_SHARD * 2**levels
     sample = np.array(
-        [r[0] for r in points.orderBy(F.hash("fingerprint"), "fingerprint").limit(bound).take(bound)],
+        [r["fingerprint"] for r in drawn(points, bound, "fingerprint").take(bound)],
         dtype=np.int64,
     ).view(np.uint64)
     trees = [top_tree(_half(sample, side), levels) for side in (0, 1)]

@@ -22,8 +22,8 @@ _NUMERALS = {
 _NUMERAL_CHARS = frozenset(map(chr, _NUMERALS))
 
 # Characters of text whose words are held at once, and words whose values are remembered.
-BLOCK_CHARS = 1_500_000
-TABLE_WORDS = 200_000
+BLOCK_CHARS = 300_000
+TABLE_WORDS = 80_000
 
 _PRIME = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
