@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 HOT_SHARE = 0.001
 HOT_ROWS = 100_000
+NULL_PIECES = 4096
 
 
 def hot_keys(rows: DataFrame, key: str, share: float = HOT_SHARE,
@@ -34,11 +35,13 @@ def hot_key_join(rows: DataFrame, per_key: DataFrame, key: str, spread: str, how
 
     The rows of a hot key are spread over its pieces by the hash of ``spread``,
     a column that differs between them; the one row of the other side is
-    repeated per piece.  All other keys have a single piece.
+    repeated per piece.  All other keys have a single piece.  Null keys match
+    nothing and are spread over ``NULL_PIECES``.
     """
     hot = F.broadcast(hot_keys(rows, key, share, min_rows))
     pieces = F.coalesce("_pieces", F.lit(1))
-    left = rows.join(hot, key, "left").withColumn("_piece", F.pmod(F.hash(spread), pieces))
+    spread_over = F.when(F.col(key).isNull(), NULL_PIECES).otherwise(pieces)
+    left = rows.join(hot, key, "left").withColumn("_piece", F.pmod(F.hash(spread), spread_over))
     right = per_key.join(hot, key, "left").withColumn(
         "_piece", F.explode(F.sequence(F.lit(0), pieces - 1))
     )

@@ -15,6 +15,7 @@ MODULES = (
     "page_queries",
     "source_queries",
     "stream_queries",
+    "landed_queries",
 )
 
 
