@@ -140,6 +140,17 @@ def test_near_duplicates(docs, rows, no_docs):
     assert Counter(r[0] for r in kept.collect()) == Counter({c for _, _, c in want})
 
 
+def test_components_without_an_id_of_their_own_keep_a_row(spark):
+    draw = random.Random(12)
+    texts = [" ".join(str(draw.randrange(10**6)) for _ in range(60)) for _ in range(9)]
+    ids = [None] * 5 + [7] * 3 + [8]
+    made = spark.createDataFrame([*zip(ids, texts), (None, texts[0]), (9, texts[8])], "doc_id long, text string")
+    prints = [fingerprint(t) for t in texts]
+    assert min((a ^ b).bit_count() for n, a in enumerate(prints) for b in prints[:n]) > 3
+    kept = Counter((r.doc_id, r.text) for r in without_near_duplicates(made).collect())
+    assert kept == Counter(zip(ids, texts))
+
+
 def test_all_links_of_clustered_fingerprints(spark):
     draw = random.Random(9)
     points = set()

@@ -166,7 +166,7 @@ def _labelled(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
         joined.select(F.col("node").alias("fingerprint"), "component"), "fingerprint", "left"
     ).select("fingerprint", F.coalesce("component", "fingerprint").alias("component"), "least")
     smallest = labels.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = labels.join(smallest, "component").select("fingerprint", "component_id")
+    named = labels.join(smallest, "component").select("fingerprint", "component", "component_id")
     return prints.join(named, "fingerprint")
 
 
@@ -189,13 +189,17 @@ def near_duplicates(
 def without_near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS
 ) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is that of their component, one of each."""
+    """One row of ``docs`` per component, with the doc_id of the component.
+
+    Components are told apart by their fingerprints, so those that share a doc_id, or have
+    none, keep a row each.
+    """
     kept = (
         _labelled(docs, shingle, max_bits)
         .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy("component_id", "_key")
-        .agg(F.min("_hash").alias("_hash"))
-        .select("_key", "_hash")
+        .groupBy("component")
+        .agg(F.min(F.struct("_key", "_hash")).alias("first"))
+        .select("first._key", "first._hash")
     )
     rows = with_row_key(pick(docs, "doc_id", "text", carry=True))
     one = rows.join(kept, ["_key", "_hash"]).dropDuplicates(["_key", "_hash"])
