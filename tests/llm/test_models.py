@@ -135,6 +135,25 @@ def test_mixed_rows(spark, docs, rows, no_docs):
         assert abs(seen - 0.5 * (s + 1)) < 1.01
 
 
+def test_targets_hold_for_many_slots_and_sources(spark):
+    equal = spark.range(6000).selectExpr("id doc_id", "'s' || id % 3 source")
+    tail = [(i, f"t{i % 1100}") for i in range(2200)] + [(i, "none") for i in range(3000, 3040)]
+    many = spark.createDataFrame([(i, "big") for i in range(4000, 5500)] + tail, "doc_id long, source string")
+    weights = {"big": 0.5, "none": 0.0} | {f"t{i}": 0.5 / 1100 for i in range(1100)}
+    for docs, target, name, share, least in ((equal, None, "s0", 1 / 3, 5990), (many, weights, "big", 0.5, 2900)):
+        got = mixing.mixed(docs, target, 1).collect()
+        assert len(got) == docs.count()
+        assert all((r.slot is None) == (r.source == "none") for r in got)
+        order = sorted((r.slot, r.source) for r in got if r.on_target)
+        assert len(order) >= least and [slot for slot, _ in order] == list(range(len(order)))
+        seen = 0
+        for slot, source in order:
+            seen += source == name
+            assert abs(seen - share * (slot + 1)) < 1.01
+        later = [r.slot for r in got if r.slot is not None and not r.on_target]
+        assert len(set(later)) == len(later) and min(later, default=len(order)) >= len(order)
+
+
 def test_pipeline_stages(spark, docs, tmp_path, rows):
     spark.createDataFrame([(1, "nothing like it at all")], "item_id long, text string").write.parquet(
         f"{tmp_path}/benchmark.parquet"
