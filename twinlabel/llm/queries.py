@@ -8,9 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
+from .byte_bpe import round_trip
 from .decontamination import contamination
 from .exact_dedup import exact_duplicates
 from .language_id import languages
+from .merkle import FAN_OUT, audited
 from .mixing import mixed
 from .passages import shared_passages
 from .repeat_removal import without_repeats
@@ -195,3 +197,88 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fuzzy passages that documents share."""
     return shared_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded to tokens and decoded again."""
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
+# crc32 of a list of bytes, over the table of all single bytes in the relation ``crc``.
+_SQL_CRC_TABLE = """crc AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t)"""
+
+
+def _sql_crc(text: str) -> str:
+    bytes_of = (
+        f"list_transform(range(strlen({text})), "
+        f"lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    )
+    return (
+        f"xor(list_reduce({bytes_of}, "
+        "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+    )
+
+
+def _sql_framed(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || {value}, '-')"
+
+
+def _sql_tree(name: str, levels: int) -> str:
+    """CTEs above ``{name}0`` (tree, i, c, h): ``{name}{k}`` holds the nodes of level k, and
+    ``{name}s{k}`` the siblings on either side of each."""
+    steps = []
+    for k in range(levels):
+        steps.append(f"""
+  {name}{k + 1} AS (SELECT tree, i // {FAN_OUT} AS i, any_value((c + 7) // {FAN_OUT}) AS c,
+      CASE WHEN any_value(c) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h
+    FROM {name}{k} AS n GROUP BY tree, n.i // {FAN_OUT}),
+  {name}s{k} AS (SELECT tree, i, c, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED
+      PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1
+      FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+    FROM {name}{k} WINDOW w AS (PARTITION BY tree, i // {FAN_OUT} ORDER BY i))""")
+    return ",".join(steps)
+
+
+def _sql_folds(name: str, start: str, levels: int) -> str:
+    """CTEs ``{start}1`` to ``{start}{levels}``: rows (tree, i, cur, proof) folded level by level."""
+    return ",".join(
+        f"""
+  {start}{k + 1} AS (SELECT f.* REPLACE (f.i // {FAN_OUT} AS i,
+      CASE WHEN c > 1 THEN sha256(l || cur || r) ELSE cur END AS cur,
+      CASE WHEN c > 1 THEN proof || l || r ELSE proof END AS proof)
+    FROM {start}{k} f JOIN {name}s{k} s ON f.tree IS NOT DISTINCT FROM s.tree AND f.i = s.i)"""
+        for k in range(levels)
+    )
+
+
+# Levels of the trees in SQL: enough for 2 million leaves and 512 languages.
+_SQL_LEAVES, _SQL_TREES = 7, 3
+_SQL_HEAD = " || ".join(_sql_framed(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
+ORACLE["op11_merkle_manifest"] = f"""
+  WITH {_SQL_CRC_TABLE},
+  d AS (SELECT doc_id, lang AS tree, sha256({_SQL_HEAD} || {_sql_framed("text")}) AS h,
+               sha256({_SQL_HEAD} || {_sql_framed(SQL_LOWER.format("text"))}) AS tampered,
+               {_sql_crc("CAST(doc_id AS VARCHAR)")} % 3 = 0 AS hit FROM documents, crc),
+  o AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS i,
+               count(*) OVER (PARTITION BY tree) AS c FROM d),
+  n0 AS (SELECT tree, i, c, h FROM o),{_sql_tree("n", _SQL_LEAVES)},
+  u0 AS (SELECT 0 AS tree, n.tree AS lang, row_number() OVER (ORDER BY n.tree NULLS FIRST) - 1 AS i,
+                count(*) OVER () AS c, h FROM n{_SQL_LEAVES} n),{_sql_tree("u", _SQL_TREES)},
+  f0 AS (SELECT doc_id, tree, h AS leaf, i, '' AS proof,
+                CASE WHEN hit THEN tampered ELSE h END AS cur FROM o),
+  {_sql_folds("n", "f", _SQL_LEAVES)},
+  g0 AS (SELECT f.doc_id, f.leaf, u.h AS subroot, u.tree, u.i, f.cur, f.proof
+         FROM f{_SQL_LEAVES} f JOIN u0 u ON f.tree IS NOT DISTINCT FROM u.lang),
+  {_sql_folds("u", "g", _SQL_TREES)}
+  SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, cur AS folded_root,
+         cur = h AS verified
+  FROM g{_SQL_TREES}, u{_SQL_TREES}"""
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents against the root of their manifest."""
+    return audited(table(spark, sf_dir, "documents"))
