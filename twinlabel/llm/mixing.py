@@ -174,7 +174,8 @@ def _scheduled(docs: DataFrame, weights: dict[str | None, float] | None, block_r
     )
     horizon = layout.count()
     taken = {
-        r["_source"]: r["n"] for r in layout.groupBy("_source").agg(F.count(F.lit(1)).alias("n")).collect()
+        r["_source"]: r["n"]
+        for r in layout.groupBy("_source").agg(F.count(F.lit(1)).alias("n")).take(MAX_SOURCES)
     }
     # The slots after those, for sources that have a weight.
     given = [source for source, weight in enumerate(fine) if weight]
