@@ -17,6 +17,7 @@ from .mixing import mixed
 from .passages import shared_passages
 from .repeat_removal import without_repeats
 from .simhash_dedup import near_duplicates
+from .spelling import DAMAGE, MIN_COUNT, MIN_LENGTH, RATIO, spelling_variants
 from .toxicity import toxicity
 from .url_filter import DAMPING, ROUNDS, RULES, THRESHOLD, judged
 from .warc import archived
@@ -282,3 +283,36 @@ ORACLE["op11_merkle_manifest"] = f"""
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proofs of all documents against the root of their manifest."""
     return audited(table(spark, sf_dir, "documents"))
+
+
+# Words that agree where one code point of each is blanked differ by a replacement; a word that
+# equals another without one of its code points differs by an insertion.
+ORACLE["op13_spelling_variants"] = rf"""
+  WITH RECURSIVE {_SQL_CRC_TABLE},
+  r AS (SELECT doc_id, run, count(*) AS k
+        FROM (SELECT doc_id, unnest(regexp_extract_all({SQL_LOWER.format("text")},
+                '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL),
+  m AS (SELECT run, k, {_sql_crc("(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)")} AS h FROM r, crc),
+  v AS (SELECT CASE WHEN h % {DAMAGE} = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:]
+               ELSE run END AS word, k FROM m),
+  w AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM v WHERE length(word) >= {MIN_LENGTH}
+        GROUP BY word HAVING sum(k) >= {MIN_COUNT}),
+  x AS (SELECT word, word[:i] AS l, word[i + 2:] AS r
+        FROM (SELECT word, unnest(range(length(word))) AS i FROM w)),
+  p AS (SELECT a.word, b.word AS near FROM x a JOIN x b USING (l, r) WHERE a.word <> b.word),
+  e AS (SELECT x.word, w.word AS near FROM x JOIN w ON w.word = l || r),
+  q AS (SELECT DISTINCT word, near FROM (FROM p UNION ALL FROM e UNION ALL SELECT near, word FROM e)),
+  b AS (SELECT q.word, count(*) AS n_near, max(w.n) AS top,
+               arg_min(near, (-w.n, near)) AS best FROM q JOIN w ON w.word = near GROUP BY q.word),
+  f AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= {RATIO} * n THEN best END AS form,
+               CASE WHEN top >= {RATIO} * n THEN top END AS form_n FROM w LEFT JOIN b ON b.word = w.word),
+  c AS (SELECT word, word AS at FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.at
+        WHERE f.form IS NOT NULL)
+  SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n
+  FROM f JOIN c ON c.word = f.word JOIN f g ON g.word = c.at WHERE g.form IS NULL"""
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents grouped by spelling variants."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
