@@ -30,8 +30,9 @@ from .perfect_hash import PerfectHash
 RANKS = "byte_bpe_multi_50k.tiktoken"
 # Pre-tokens that a worker remembers; it starts anew beyond that.
 KNOWN = 1_000_000
-# Code points of a text that are split at once.
+# Code points of a text that are split at once, and how far a match may look past its end.
 STRETCH = 1_000_000
+LOOK_AHEAD = 8
 
 # Letters and numbers of Unicode versions after 16, which the installed
 # pattern engine knows and the tokenizer's own does not: first and last code points.
@@ -98,7 +99,7 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Vocabulary:
     """The tokens of a rank file in the order of their slots, and the pattern that splits
     texts.  Every single byte must be a token.  Matches of the pattern must cover the text
-    and look at most one character past their end."""
+    and depend on no more than ``LOOK_AHEAD`` characters past their end."""
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         with open(path, "rb") as lines:
@@ -152,7 +153,7 @@ class Encoder:
 
     def _packed(self, text: str, start: int, end: int, more: bool) -> tuple[bytes, int]:
         """Ids of ``text[start:end]``, and where they end: if there is more text, before the
-        last match, as what follows may belong to it."""
+        last matches, as what follows may belong to them."""
         pieces = self.plain.findall(text, start, end)
         fresh = set(pieces).difference(self.known)
         own: dict[str, bytes] = {}
@@ -161,7 +162,9 @@ class Encoder:
             fresh = set(pieces).difference(self.known)
             own = {piece: b"" for piece in fresh if not self.newer.isdisjoint(piece)}
         if more:
-            end -= len(pieces.pop())
+            stop = end - LOOK_AHEAD
+            while pieces and end > stop:
+                end -= len(pieces.pop())
         if fresh:
             if len(self.known) > KNOWN:
                 self.known, fresh = {}, set(pieces)
