@@ -9,10 +9,7 @@ from twinlabel.plans.comparison import compare_providers
 from twinlabel.plans.pages import resolve_page_images
 from twinlabel.session import work_dir
 from twinlabel.streaming.streams import (
-    drop_duplicate_requests,
     label_stream,
-    latest_result_stream,
-    read_latest,
     read_session_states,
     session_fold,
     write_batches,
@@ -186,41 +183,6 @@ def test_stream_folds_equal_batch(spark, tmp_path):
     assert len({r[0] for r in spark.read.parquet(out).select("batch").distinct().collect()}) == 3
     assert set(read_session_states(spark, out).collect()) == set(session_fold(df).collect())
 
-    out, cp = str(tmp_path / "out2"), str(tmp_path / "cp2")
-    keys, order = ("session_id", "provider"), ("ts", "event_id")
-    write_batches(latest_result_stream(stream, keys, order), out, cp, "update").awaitTermination()
-    batch = folds.latest_result(df, keys, order)
-    assert set(read_latest(spark, out, keys, order).select(*batch.columns).collect()) == set(batch.collect())
-
-
-def test_stream_drops_repeats_inside_the_bound(spark, tmp_path):
-    import datetime as dt
-
-    t = dt.datetime(2024, 1, 1)
-    rows = [("hot", t + dt.timedelta(seconds=i % 7)) for i in range(500)] + [("other", t)]
-    df = spark.createDataFrame(rows, "request_key string, ts timestamp")
-    stream = as_stream(spark, df, str(tmp_path / "in"))
-    write_batches(drop_duplicate_requests(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert sorted(r.request_key for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["hot", "other"]
-
-
-def test_stream_keeps_requests_outside_the_bound(spark, tmp_path):
-    import datetime as dt
-
-    t = dt.datetime(2024, 1, 1)
-    rows = [("one", t + dt.timedelta(days=40 * i, minutes=m)) for i in range(4) for m in (0, 3, 9)]
-    df = spark.createDataFrame(rows, "request_key string, ts timestamp")
-    for files in (1, 3):
-        source = str(tmp_path / f"in{files}")
-        for n in range(files):
-            part = rows[n * 12 // files : (n + 1) * 12 // files]
-            spark.createDataFrame(part, df.schema).coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
-        out = str(tmp_path / f"out{files}")
-        write_batches(drop_duplicate_requests(stream), out, str(tmp_path / f"cp{files}")).awaitTermination()
-        days = [(r.ts - t).days for r in spark.read.parquet(out).collect()]
-        assert sorted(days) == [0, 40, 80, 120]
-
 
 def test_label_stream_two_sinks(spark, tmp_path):
     from test_labelling import REQUEST, ROWS, factory

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -17,6 +18,10 @@ SETTINGS = {
     # Payloads and pages are large: bound the Arrow batches by bytes, not by rows only.
     "spark.sql.execution.arrow.maxBytesPerBatch": "67108864b",
     "spark.sql.session.timeZone": "UTC",
+    # State of streams lives outside the heap; state with timers needs this store.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
 
 
@@ -41,6 +46,41 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+def _clear_scratch() -> None:
+    for spark, path in _scratch:
+        try:
+            remove(spark, path)
+        except Exception:  # the session may be gone; its folder then goes with the cluster's own
+            pass
+
+
+def scratch_dir(spark: SparkSession, purpose: str) -> str:
+    """A folder as of :func:`work_dir` that is deleted when the application ends."""
+    if not _scratch:
+        atexit.register(_clear_scratch)
+    path = work_dir(spark, purpose)
+    _scratch.append((spark, path))
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder in whatever file system holds it."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none if it is missing."""
+    if not path_exists(spark, path):
+        return []
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop_path)
+    return sorted(f.getPath().getName() for f in found)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists, asked of the file system that owns it."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
