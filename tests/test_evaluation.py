@@ -1,4 +1,5 @@
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,12 +24,23 @@ from twinlabel.operators.joins import (
 from twinlabel.operators.reports import (
     dataset_order,
     image_source,
+    numbered,
     order_by_id,
     provider_order,
     unify_datasets,
 )
-from twinlabel.plans.evaluation import evaluate_gated, evaluate_isolated, report_header
-from twinlabel.sources.readers import dataset_header, explode_cases, read_eval_dataset
+from twinlabel.plans.evaluation import (
+    evaluate_gated,
+    evaluate_isolated,
+    evaluation_run,
+    report_header,
+)
+from twinlabel.sources.readers import (
+    dataset_header,
+    explode_cases,
+    read_eval_dataset,
+    read_large_dataset,
+)
 from twinlabel.sources.writers import write_eval_report
 
 POLICY = {"generated_images_allowed": False, "ground_truth_required": True,
@@ -257,3 +269,63 @@ def test_hot_key_join_splits_and_stays_exact(spark):
     limit = 90
     spread = rows.where("id = 'hot'").select(F.pmod(F.hash("pos"), F.lit(-(-3000 // limit))).alias("p"))
     assert spread.distinct().count() == -(-3000 // limit)
+
+
+def test_row_numbers(spark):
+    rows = [(f"id{i % 40:02d}", i, "x" * i) for i in range(300)]
+    made = spark.createDataFrame(rows, "id string, pos int, v string").repartition(5)
+    for order in (["id", "pos"], ["pos"]):
+        got = {(r.id, r.pos): r.row for r in numbered(made, *order).collect()}
+        want = sorted(rows, key=lambda r: tuple(r[("id", "pos").index(o)] for o in order))
+        assert got == {(r[0], r[1]): n for n, r in enumerate(want)}
+    same = spark.createDataFrame([("a", 1)] * 50, "id string, pos int")
+    assert sorted(r.row for r in numbered(same, "id").collect()) == list(range(50))
+    assert numbered(same.limit(0), "id").count() == 0
+
+
+def test_whole_run(spark, tmp_path):
+    docs = dataset(spark, tmp_path, [case("b"), case("a"), case("c")])
+    cases, header = explode_cases(docs), dataset_header(docs)
+    held = images(spark, [("a", "ok", None), ("b", "failed", "empty_body")])
+    landed = replies(spark, [("a", reply(GOOD)), ("b", (500, "{}"))])
+    for gated, want in ((True, ["a", "b", "c"]), (False, ["b", "a", "c"])):
+        report, verdict = evaluation_run(
+            header, cases, held, landed, str(tmp_path / f"run-{gated}"), "m", gated, fmt="parquet")
+        assert [r.id for r in report.orderBy("row").collect()] == want
+        assert verdict.first().failures == (3 if gated else 2) and not verdict.first().passed
+    broken = header.withColumn("policy", F.lit(None).cast(header.schema["policy"].dataType))
+    with pytest.raises(ValueError, match="policy"):
+        evaluation_run(broken, cases, held, landed, str(tmp_path / "never"), "m", False)
+    assert not (tmp_path / "never").exists()
+
+
+def test_the_last_of_several_rows_counts(spark, tmp_path):
+    cases = explode_cases(dataset(spark, tmp_path, [case("a"), case("b")]))
+    rows = [("a", "ok", None, 1), ("a", "failed", "gone", 2), ("b", "failed", "zz", 1), ("b", "ok", None, 2)]
+    seen = spark.createDataFrame(rows, "id string, status string, error string, seq int")
+    answers = [("b", *reply(GOOD), 1), ("b", 500, "{}", 2)]
+    landed = spark.createDataFrame(answers, "id string, http_status int, body string, seq int")
+    got = {r.id: (r.api_status, r.image.validation.error) for r in
+           evaluate_isolated(cases, seen, landed, "seq").collect()}
+    assert got == {"a": ("skipped", "gone"), "b": ("failed", None)}
+
+
+@pytest.mark.parametrize("size", ["300", "100000"])
+def test_large_datasets_are_cut_into_ranges(spark, tmp_path, size):
+    hints = ["} ] , { \" [", "\\", 'x\\"}', "二}", None]
+    kinds = [(60, None, ""), (23, 2, "\n"), (0, None, ""), (0, 1, "\n"), (1, 1, " ")]
+    for n, (count, indent, end) in enumerate(kinds):
+        cases = [{**case(f"c{i}"), "image_hint": hints[i % 5]} for i in range(count)]
+        doc = {"version": f"v{n}", "policy": {"ground_truth_required": True}, "cases": cases, "purpose": "p } ["}
+        (tmp_path / f"{n}.json").write_text(json.dumps(doc, ensure_ascii=n == 0, indent=indent) + end)
+    for key, value in (("maxPartitionBytes", size), ("openCostInBytes", "0")):
+        spark.conf.set(f"spark.sql.files.{key}", value)
+    try:
+        header, cases = read_large_dataset(spark, str(tmp_path))
+        whole = read_eval_dataset(spark, str(tmp_path))
+        want = explode_cases(whole).select(cases.drop("file").columns)
+        assert Counter(map(str, cases.drop("file").collect())) == Counter(map(str, want.collect()))
+        assert Counter(map(str, header.drop("file").collect())) == Counter(map(str, dataset_header(whole).collect()))
+    finally:
+        for key in ("maxPartitionBytes", "openCostInBytes"):
+            spark.conf.unset(f"spark.sql.files.{key}")

@@ -53,6 +53,46 @@ def test_page_acceptance(evaluate):
         "ok", "ok", "ok", "ok" if "html" in rows[3] else "not_html", "not_html"]
 
 
+def jpeg(width, height, segments=0, frame=0xC0, tail=b"\xff\xd9"):
+    apps = b"".join(b"\xff\xe1" + struct.pack(">H", 2 + i % 300) + b"\xff" * (i % 300) for i in range(segments))
+    sof = b"\xff" + bytes([frame]) + struct.pack(">HBHHB", 11, 8, height, width, 1) + b"\x01\x11\x00"
+    return b"\xff\xd8" + apps + b"\xff\xff\xff\x01" + sof + b"\xff\xda\x00\x02" + b"data" + tail
+
+
+def webp(kind, body):
+    return b"RIFF" + struct.pack("<I", 12 + len(body)) + b"WEBP" + kind + struct.pack("<I", len(body)) + body
+
+
+def test_sizes_from_headers(evaluate):
+    broken = bytearray(png(7, 9))
+    broken[17] ^= 1
+    cases = [
+        (png(70_000, 1), (70_000, 1)),
+        (png(7, 9) + b"more", (7, 9)),
+        (png(7, 9)[:-4], None),
+        (bytes(broken), None),
+        (jpeg(640, 480), (640, 480)),
+        (jpeg(640, 480, 30, 0xC2), (640, 480)),
+        (jpeg(300, 65_535, 400), (300, 65_535)),
+        (b"\xff\xd8\xff\xda\x00\x02data", None),
+        (b"\xff\xd8\xff\xe1\xff\xff", None),
+        (b"\xff\xd8\xff", None),
+        (b"\xff\xd8\xff\xc0\x00\x0b\x08\x01", None),
+        (b"GIF89a" + struct.pack("<HH", 300, 200) + b"\x00", (300, 200)),
+        (b"GIF87a\x01", None),
+        (b"BM" + b"\x00" * 16 + struct.pack("<ii", 33, -44), (33, 44)),
+        (webp(b"VP8X", b"\x00" * 4 + (999).to_bytes(3, "little") + (499).to_bytes(3, "little")), (1000, 500)),
+        (webp(b"VP8L", b"\x2f" + ((99) | (199 << 14)).to_bytes(4, "little")), (100, 200)),
+        (webp(b"VP8 ", b"\x00\x00\x00\x9d\x01\x2a" + struct.pack("<HH", 320, 240)), (320, 240)),
+        (png(0, 5), None),
+        (b"", None),
+        (None, None),
+        (b"hello", None),
+    ]
+    got = evaluate([c for c, _ in cases], "b binary", T.image_size(F.col("b")))
+    assert [g and (g.width, g.height) for g in got] == [want for _, want in cases]
+
+
 def test_preflight_of_files(spark, tmp_path):
     good = png(200, 200)
     files = {"good.png": good, "small.png": png(199, 200), "cut.png": good[: len(good) // 2],

@@ -14,6 +14,7 @@ from .images import (  # noqa: F401
     final_format,
     final_mime,
     image_acceptance,
+    image_size,
     mime_of,
     needs_conversion,
     page_acceptance,

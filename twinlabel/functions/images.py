@@ -33,6 +33,108 @@ def file_format(content: Column) -> Column:
     )
 
 
+def _number(content: Column, at: Column | int, size: int, little: bool = False) -> Column:
+    """Unsigned number of ``size`` bytes from the 0-based place ``at``; null past the end."""
+    start = F.lit(at) if isinstance(at, int) else at
+    parts = []
+    for i in range(size):
+        byte = F.substring(content, start + i + 1, F.lit(1))
+        weight = 256 ** (i if little else size - 1 - i)
+        value = F.when(F.length(byte) == 1, F.conv(F.hex(byte), 16, 10).cast("long"))
+        parts.append(value * weight)
+    total = parts[0]
+    for part in parts[1:]:
+        total = total + part
+    return total
+
+
+def _edges(width: Column, height: Column) -> Column:
+    return F.struct(width.cast("int").alias("width"), height.cast("int").alias("height"))
+
+
+# The last chunk of a PNG, and JPEG markers that carry the size (start of frame)
+# and that stand alone, without a length.
+PNG_END = "0000000049454E44AE426082"
+JPEG_FRAMES = (0xC0, 0xC1, 0xC2, 0xC3, 0xC5, 0xC6, 0xC7, 0xC9, 0xCA, 0xCB, 0xCD, 0xCE, 0xCF)
+JPEG_ALONE = (0x01, 0xD0, 0xD1, 0xD2, 0xD3, 0xD4, 0xD5, 0xD6, 0xD7)
+JPEG_SCAN, JPEG_END, JPEG_FILL = 0xDA, 0xD9, 0xFF
+
+# Segments before the frame that a first walk looks at; files have a few, colour profiles some more.
+_SEGMENTS = 48
+
+
+def _jpeg_walk(content: Column, steps: Column) -> Column:
+    """Hop from marker to marker until the frame header; ``at`` is null once the walk is over."""
+    kind = "struct<at: int, width: int, height: int>"
+
+    def step(state: Column, _: Column) -> Column:
+        at = state["at"]
+        marker = _number(content, at + 1, 1)
+        hop = F.when(marker == JPEG_FILL, 1).when(marker.isin(*JPEG_ALONE), 2).otherwise(
+            2 + _number(content, at + 2, 2)
+        )
+        over = (_number(content, at, 1) != 0xFF) | marker.isin(JPEG_SCAN, JPEG_END)
+        found = F.struct(
+            F.lit(None).cast("int").alias("at"),
+            _number(content, at + 7, 2).cast("int").alias("width"),
+            _number(content, at + 5, 2).cast("int").alias("height"),
+        )
+        none = F.lit(None).cast("int")
+        onward = F.struct(
+            F.when(~over, at + hop.cast("int")).alias("at"), none.alias("width"), none.alias("height")
+        )
+        return F.when(at.isNull(), state).when(marker.isin(*JPEG_FRAMES), found).otherwise(
+            onward
+        ).cast(kind)
+
+    start = F.struct(
+        F.lit(2).alias("at"), F.lit(None).cast("int").alias("width"),
+        F.lit(None).cast("int").alias("height"),
+    ).cast(kind)
+    return F.aggregate(F.sequence(F.lit(1), steps), start, step)
+
+
+def _jpeg_size(content: Column) -> Column:
+    first = _jpeg_walk(content, F.lit(_SEGMENTS))
+    # A segment has four bytes at least.
+    whole = _jpeg_walk(content, F.greatest(F.lit(1), (F.length(content) / 4).cast("int")))
+    walked = F.when(first["at"].isNull(), first).otherwise(whole)
+    return _edges(walked["width"], walked["height"])
+
+
+def image_size(content: Column) -> Column:
+    """(width, height) from the header of a PNG, JPEG, GIF, BMP or WebP file; no pixel is decoded.
+
+    Null edges where there is no such header, and for a PNG whose header fails its check sum or
+    that ends before its last chunk.
+    """
+    fmt = file_format(content)
+    header = F.substring(content, F.lit(13), F.lit(17))
+    whole = (F.crc32(header) == _number(content, 29, 4)) & F.contains(
+        content, F.unhex(F.lit(PNG_END))
+    )
+    png = F.when(whole, _edges(_number(content, 16, 4), _number(content, 20, 4)))
+    gif = _edges(_number(content, 6, 2, True), _number(content, 8, 2, True))
+    # The height of a bitmap is negative if its rows run downwards.
+    rows = _number(content, 22, 4, True)
+    bmp = _edges(_number(content, 18, 4, True), F.when(rows >= 2**31, 2**32 - rows).otherwise(rows))
+    chunk = F.hex(F.substring(content, F.lit(13), F.lit(4)))
+    packed = _number(content, 21, 4, True)
+    webp = (
+        F.when(chunk == "56503858", _edges(_number(content, 24, 3, True) + 1, _number(content, 27, 3, True) + 1))
+        .when(chunk == "5650384C", _edges(packed % 2**14 + 1, F.floor(packed / 2**14) % 2**14 + 1))
+        .when(chunk == "56503820", _edges(_number(content, 26, 2, True) % 2**14, _number(content, 28, 2, True) % 2**14))
+    )
+    size = (
+        F.when(fmt == "PNG", png)
+        .when(fmt == "JPEG", _jpeg_size(content))
+        .when(fmt == "GIF", gif)
+        .when(fmt == "BMP", bmp)
+        .when(fmt == "WEBP", webp)
+    )
+    return F.when((size["width"] > 0) & (size["height"] > 0), size)
+
+
 def mime_of(image_format: Column) -> Column:
     """MIME of a format the models accept; null means it needs conversion."""
     table = F.create_map(*[F.lit(x) for x in chain(*MIME_BY_FORMAT.items())])

@@ -29,8 +29,10 @@ from ..functions.text import (
     upstream_error,
 )
 from ..operators.folds import failure_count
+from ..operators.gates import BASIC_POLICY, STRICT_POLICY, require_gates
 from ..operators.joins import all_pass, hot_key_join, last_of_each
-from ..operators.reports import case_projection_gated, case_projection_isolated
+from ..operators.reports import case_projection_gated, case_projection_isolated, numbered
+from ..sources.writers import write_eval_report
 
 NOTE_ISOLATED = "Specification values stand side by side for review; nothing judges their meaning."
 NOTE_GATED = (
@@ -141,10 +143,11 @@ def compare_gated(df: DataFrame, gt: str = "ground_truth", response: str = "ai_r
     return df.withColumns({"result": result, "compare_error": error}).drop("_answer")
 
 
-def _checked(images: DataFrame) -> DataFrame:
+def _checked(images: DataFrame, latest: str | None) -> DataFrame:
     """Image observations reduced to one row per id."""
-    rest = [c for c in images.columns if c != "id"]
-    order = F.struct(F.col("status") == "ok", F.to_json(F.struct(*rest)))
+    rest = [c for c in images.columns if c not in ("id", latest)]
+    spelled = F.struct(F.col("status") == "ok", F.to_json(F.struct(*rest)))
+    order = F.struct(latest, spelled) if latest else spelled
     return images.groupBy("id").agg(F.max_by(F.struct(*rest), order).alias("validation"))
 
 
@@ -184,24 +187,38 @@ def _with_result(df: DataFrame, open_gate: Column, skipped: str, compare) -> Dat
     )
 
 
-def _facts(images: DataFrame, replies: DataFrame) -> DataFrame:
-    """``validation`` and ``_reply`` side by side, one row per id."""
-    best = F.struct(
+def _facts(images: DataFrame, replies: DataFrame, latest: str | None) -> DataFrame:
+    """``validation`` and ``_reply`` side by side, one row per id.
+
+    Of several rows with one id the greatest ``latest`` counts; without such a column, and
+    between equal ones, a good one is taken before a bad one and else the greatest text.
+    """
+    spelled = F.struct(
         F.col("api_error").isNull(), F.coalesce("api_error", F.lit("")), F.to_json("ai_response")
     )
+    if latest:
+        # The last body is chosen before any is parsed.
+        replies = replies.groupBy("id").agg(
+            F.max_by(
+                F.struct("http_status", "body"), F.struct(latest, "http_status", "body")
+            ).alias("_last")
+        ).select("id", "_last.*")
     answered = (
         read_reply(replies)
         .groupBy("id")
-        .agg(F.max_by(F.struct("api_error", "ai_response"), best).alias("_reply"))
+        .agg(F.max_by(F.struct("api_error", "ai_response"), spelled).alias("_reply"))
     )
-    return _checked(images).join(answered, "id", "full")
+    return _checked(images, latest).join(answered, "id", "full")
 
 
-def evaluate_isolated(cases: DataFrame, images: DataFrame, replies: DataFrame) -> DataFrame:
+def evaluate_isolated(cases: DataFrame, images: DataFrame, replies: DataFrame,
+                      latest: str | None = None) -> DataFrame:
     """Per-case isolation.  ``images``: id, status, error and observations;
-    ``replies``: id, http_status, body.  Order the report with ``dataset_order``."""
-    fields = [c for c in images.columns if c != "id"]
-    joined = hot_key_join(case_projection_isolated(cases), _facts(images, replies), "id", "pos")
+    ``replies``: id, http_status, body.  ``latest`` names a column of both that tells which of
+    several rows with one id is the last.  Order the report with ``dataset_order``."""
+    fields = [c for c in images.columns if c not in ("id", latest)]
+    facts = _facts(images, replies, latest)
+    joined = hot_key_join(case_projection_isolated(cases), facts, "id", "pos")
     checked = joined.withColumn(
         "image",
         F.col("image").withField(
@@ -212,18 +229,21 @@ def evaluate_isolated(cases: DataFrame, images: DataFrame, replies: DataFrame) -
     return _with_result(checked, passed, "skipped", compare_isolated)
 
 
-def evaluate_gated(cases: DataFrame, images: DataFrame, replies: DataFrame) -> DataFrame:
+def evaluate_gated(cases: DataFrame, images: DataFrame, replies: DataFrame,
+                   latest: str | None = None) -> DataFrame:
     """All or nothing.  ``images`` additionally holds ``resolved_url``.
 
-    Of several cases with one id each row carries the last one's content.
-    Order the report with ``order_by_id``.
+    Of several cases with one id each row carries the last one's content; ``latest`` is as in
+    ``evaluate_isolated``.  No reply is parsed while the gate is shut.  Order the report with
+    ``order_by_id``.
     """
-    fields = [c for c in images.columns if c not in ("id", "resolved_url")]
+    fields = [c for c in images.columns if c not in ("id", "resolved_url", latest)]
     passed = images.groupBy("id").agg(F.bool_or(F.col("status") == "ok").alias("ok"))
     # One failed or missing image is enough; ids are compared once each.
     ids = cases.select("id").distinct().join(passed, "id", "left")
     gate = all_pass(ids, F.col("ok"))
-    per_id = last_of_each(case_projection_gated(cases)).join(_facts(images, replies), "id", "left")
+    facts = _facts(images, replies.where(gate), latest)
+    per_id = last_of_each(case_projection_gated(cases)).join(facts, "id", "left")
     joined = hot_key_join(cases.select("id", "pos"), per_id, "id", "pos")
     ok = F.coalesce(F.col("validation.status") == "ok", F.lit(False))
     checked = joined.withColumn(
@@ -256,3 +276,28 @@ def report_header(header: DataFrame, report: DataFrame, model: str, gated: bool)
         verdict["failures"].alias("failures"),
         (verdict["failures"] == 0).alias("passed"),
     )
+
+
+def evaluation_run(header: DataFrame, cases: DataFrame, images: DataFrame, replies: DataFrame,
+                   path: str, model: str, gated: bool, latest: str | None = None,
+                   fmt: str = "parquet") -> tuple[DataFrame, DataFrame]:
+    """One evaluation, start to end: gates, comparison, ordered report, verdict.
+
+    Stops with an error before anything is compared if the dataset's policy does not hold or a
+    case lacks ground truth; the gated run asks for one flag more.  The report is written below
+    ``path`` in the order of ids (gated) or of the dataset, with its ``row``.  Returns the report
+    and its header as written.
+    """
+    require_gates(header, cases, STRICT_POLICY if gated else BASIC_POLICY)
+    evaluate = evaluate_gated if gated else evaluate_isolated
+    report = evaluate(cases, images, replies, latest)
+    ordered = numbered(report, *(["id", "pos"] if gated else ["pos"]))
+    write_eval_report(ordered, lambda r: report_header(header, r, model, gated), path, fmt)
+    spark = cases.sparkSession
+    return tuple(
+        spark.read.format(fmt).schema(kind).load(f"{path}/{name}")
+        for name, kind in (
+            ("cases", ordered.schema),
+            ("header", report_header(header, ordered, model, gated).schema),
+        )
+    )

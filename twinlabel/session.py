@@ -81,6 +81,13 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in found)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme and host of the file system that owns it."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    owner = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return owner.makeQualified(hadoop_path).toString()
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists, asked of the file system that owns it."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..constants import CATEGORIES, CORE_FOLDER, PACK_FOLDERS, PROVIDERS
 from ..functions.encoding import byte_length, sha256
-from ..functions.images import file_format
+from ..functions.images import file_format, image_size
+from ..operators.joins import hot_key_join
 from ..schemas import DATASET, LABEL_REQUEST, MODEL_REPLY, PAGE
+from .json_records import read_json_records
 
 
 def read_eval_dataset(spark: SparkSession, *paths: str) -> DataFrame:
@@ -32,6 +34,22 @@ def explode_cases(dataset: DataFrame) -> DataFrame:
     ).select("dataset_version", "pos", "case.*")
 
 
+def read_large_dataset(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
+    """(header, cases) of datasets too large for one task each; see ``read_json_records``.
+
+    ``header`` has one row per file; ``cases`` are those of ``explode_cases`` with their ``file``.
+    """
+    rows = read_json_records(spark, list(paths), DATASET, "cases")
+    fields = ("version", "purpose", "policy")
+    header = rows.groupBy("file").agg(
+        *[F.first(f"doc.{name}", ignorenulls=True).alias(name) for name in fields]
+    )
+    cases = rows.select("file", "pos", F.explode("doc.cases").alias("case"))
+    versions = header.select("file", F.col("version").alias("dataset_version"))
+    cases = hot_key_join(cases, versions, "file", "pos")
+    return header, cases.select("file", "dataset_version", F.col("pos").cast("int").alias("pos"), "case.*")
+
+
 def category_pack_map(spark: SparkSession) -> DataFrame:
     """Category -> folder of its reference text; ``unknown`` shares general-repair."""
     rows = [(c, PACK_FOLDERS[c]) for c in CATEGORIES]
@@ -90,36 +108,27 @@ def read_label_requests(spark: SparkSession, path: str, fmt: str = "parquet") ->
 
 
 def read_image_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Bytes-derived facts and decoded dimensions of every file below ``folder``.
+    """Facts of every file below ``folder`` from one read of its bytes: length, hash, format,
+    and the edges that its header states.
 
-    Both reads shuffle narrow facts only, never file contents.  A file that does
-    not decode (also WebP and AVIF, which Spark's decoder lacks) has null edges.
+    A file without a readable header (also AVIF) has null edges.
     """
-    facts = (
+    content = F.col("content")
+    return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(folder)
         .select(
             F.col("_metadata.file_path").alias("path"),
             "length",
-            byte_length(F.col("content")).cast("long").alias("original_bytes"),
-            sha256(F.col("content")).alias("original_sha256"),
-            file_format(F.col("content")).alias("original_format"),
-        )
-    )
-    decoded = (
-        spark.read.format("image")
-        .option("recursiveFileLookup", "true")
-        .option("dropInvalid", "true")
-        .load(folder)
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("image.width").alias("width"),
-            F.col("image.height").alias("height"),
+            byte_length(content).cast("long").alias("original_bytes"),
+            sha256(content).alias("original_sha256"),
+            file_format(content).alias("original_format"),
+            image_size(content).alias("_size"),
         )
-        .where("width > 0 and height > 0")
+        .select("*", "_size.width", "_size.height")
+        .drop("_size")
     )
-    return facts.join(decoded, "path", "left")
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

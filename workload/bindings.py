@@ -236,3 +236,8 @@ def cases_and_facts(spark: SparkSession, sf_dir: str):
         .alias("body"),
     )
     return cases, images, replies
+
+
+def as_passed(images: DataFrame) -> DataFrame:
+    """The observations of images that all pass."""
+    return images.withColumns({"status": F.lit("ok"), "error": F.lit(None).cast("string")})

@@ -24,7 +24,7 @@ from twinlabel.operators.nested import explode_items
 from twinlabel.operators.reports import merge_failed_and_prepared, unify_datasets
 from twinlabel.plans.evaluation import evaluate_gated, evaluate_isolated
 
-from .bindings import CASES_SQL, cases_and_facts
+from .bindings import CASES_SQL, as_passed, cases_and_facts
 from .registry import query, table
 
 # ---------------------------------------------------------------- specifications
@@ -231,8 +231,7 @@ def gated_eval(spark, sf_dir):
 def gated_eval_open(spark, sf_dir):
     """Every image passes, so every case is answered and compared."""
     cases, images, replies = cases_and_facts(spark, sf_dir)
-    passed = images.withColumns({"status": F.lit("ok"), "error": F.lit(None).cast("string")})
-    return _gated_columns(evaluate_gated(cases, passed, replies))
+    return _gated_columns(evaluate_gated(cases, as_passed(images), replies))
 
 
 def _gated_columns(report):
@@ -283,8 +282,7 @@ def status_summary(spark, sf_dir):
 def accuracy_by_group(spark, sf_dir):
     """Strict category hits per language over the gated run with open gate."""
     cases, images, replies = cases_and_facts(spark, sf_dir)
-    passed = images.withColumns({"status": F.lit("ok"), "error": F.lit(None).cast("string")})
-    report = evaluate_gated(cases, passed, replies)
+    report = evaluate_gated(cases, as_passed(images), replies)
     return folds.accuracy_by_group(
         report.withColumn("category_match", F.col("result.category_match_strict")), "category_group"
     )
