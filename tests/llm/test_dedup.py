@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from twinlabel.llm import passages, repeat_removal
+from twinlabel.llm import near_copies, passages, repeat_removal
 from twinlabel.llm.chaining import align, chains, seeds
 from twinlabel.llm.components import components
 from twinlabel.llm.exact_dedup import exact_duplicates, without_exact_duplicates
@@ -240,3 +240,57 @@ def test_a_passage_of_many_documents_gives_no_pairs_of_all(spark):
     made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = passages.shared_passages(made).collect()
     assert {r.doc_id for r in got} == set(range(80)) and len(got) <= 4 * 80
+
+
+def shingles(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def similarity(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_at_their_similarity(spark):
+    """Pairs of texts with words changed: nine of ten at 0.8 and above go, others stay."""
+    draw = random.Random(8)
+    pairs = []
+    for size in (60, 200, 600):
+        for k in range(120):
+            words = [str(draw.randrange(10**6)) for _ in range(size)]
+            other = list(words)
+            for at in draw.sample(range(size), max(1, round(size * (k % 12 + 1) / 200))):
+                other[at] = "x" + str(draw.randrange(10**6))
+            pairs.append((" ".join(words), " ".join(other)))
+    rows = [(2 * i + side, text, "keep") for i, pair in enumerate(pairs) for side, text in enumerate(pair)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, component string")
+    kept = {r.doc_id for r in near_copies.without_near_copies(made).collect()}
+    assert kept >= set(range(0, 2 * len(pairs), 2))
+    near = [i for i, p in enumerate(pairs) if similarity(*p) >= 0.8]
+    far = [i for i, p in enumerate(pairs) if similarity(*p) < 0.65]
+    missed = [i for i in near if 2 * i + 1 in kept]
+    lost = [i for i in far if 2 * i + 1 not in kept]
+    assert len(near) > 100 and len(far) > 40
+    assert len(missed) <= len(near) / 10 and len(lost) <= len(far) / 20, (len(missed), len(near), len(lost), len(far))
+
+
+def test_near_copies_of_odd_rows(docs, rows, no_docs):
+    kept = near_copies.without_near_copies(docs)
+    assert kept.columns == docs.columns and near_copies.without_near_copies(no_docs).count() == 0
+    got = Counter((r[0], r[1]) for r in kept.collect())
+    assert set(got.values()) == {1} and set(got) <= {(r[0], r[1]) for r in rows}
+    # Near: the base text, without an id and with a word more; the long texts; no words.  In
+    # capitals one word in ten differs by a letter beyond A-Z.
+    ids = Counter(i for i, _ in got)
+    assert ids == Counter([None, None, 2, 6, 8, 9, 10, 11, 12, 12, 2**40])
+
+
+def test_hot_near_copies_leave_one(spark):
+    draw = random.Random(3)
+    words = [str(draw.randrange(10**6)) for _ in range(150)]
+    rows = [(n, " ".join([*words[: n % 150], f"y{n}", *words[n % 150 + 1 :]])) for n in range(900)]
+    rows += [(5000 + n, " ".join(str(draw.randrange(10**6)) for _ in range(80))) for n in range(50)]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in near_copies.without_near_copies(made).collect())
+    assert kept == [0, *range(5000, 5050)]

@@ -36,8 +36,8 @@ PIECE_WORDS = 8
 CHAIN_WORDS = 48
 EPOCHS = 25
 UNDETERMINED = "und"
-# Below this share of certainty the pipeline rejects a text.
-MIN_SCORE = 0.4
+# The pipeline rejects a text whose words, each for itself, are less certain of a language.
+MIN_CERTAINTY = 0.4
 
 
 @dataclass
@@ -177,14 +177,15 @@ def training_rows(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_
 
 
 def predictor(field: Field | None):
-    """A column function from a text to (lang, score)."""
+    """A column function from a text to (lang, score, certain): the likeliest language, its share
+    of the words, and the mean chance of each word's own likeliest language."""
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, certain double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         table = WordTable(field.emissions, len(field.labels)) if field else None
         for texts in batches:
             lang = np.full(len(texts), UNDETERMINED, dtype=object)
-            score = np.zeros(len(texts))
+            score, certain = np.zeros(len(texts)), np.zeros(len(texts))
             start = 0
             for tokens, counts in blocks(texts):
                 here = slice(start, start + len(counts))
@@ -198,12 +199,15 @@ def predictor(field: Field | None):
                 total = np.zeros((len(counts), len(field.labels)))
                 np.add.at(total, owner, chance.sum(1))
                 best = total.argmax(1)
+                own = np.zeros(len(counts))
+                np.add.at(own, owner, chance.max(2).sum(1))
                 has = counts > 0
+                certain[here] = np.clip(own / np.maximum(counts, 1), 0, 1)
                 lang[here] = np.where(has, np.array(field.labels, dtype=object)[best], UNDETERMINED)
                 score[here] = np.where(
                     has, np.clip(total[np.arange(len(best)), best] / np.maximum(counts, 1), 0, 1), 0.0
                 )
-            yield pd.DataFrame({"lang": lang, "score": score})
+            yield pd.DataFrame({"lang": lang, "score": score, "certain": certain})
 
     return predict
 
@@ -223,10 +227,11 @@ def languages(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
-def in_some_language(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs`` whose language is told with at least ``min_score``."""
+def in_some_language(docs: DataFrame, min_certainty: float = MIN_CERTAINTY) -> DataFrame:
+    """The rows of ``docs`` whose words are in some language with at least ``min_certainty`` on
+    average.  A text in several languages stays if each of its words is told."""
     bounded_batches(docs.sparkSession)
     predict = predictor(fit(*training_rows(docs)))
     rows = pick(docs, "text", carry=True).withColumn("p", predict("text"))
-    certain: Column = (F.col("p.lang") != UNDETERMINED) & (F.col("p.score") >= min_score)
+    certain: Column = (F.col("p.lang") != UNDETERMINED) & (F.col("p.certain") >= min_certainty)
     return unpack(rows.where(certain), docs.columns)

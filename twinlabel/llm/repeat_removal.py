@@ -12,8 +12,11 @@ runs with the same gram.  So:
 3. those runs are cut out of their texts, dealt by gram, and an enhanced suffix array over
    the runs of some grams at a time gives their maximal repeats.
 
-A gram with more than ``GROUP_RUNS`` different runs is not gathered in one place: its
-strings are dealt by their own digest instead, which splits the group exactly.
+A gram with more than ``GROUP_RUNS`` different runs is not gathered in one place.  Its runs
+are cut into blocks of neighbouring starts, aligned at the gram, and dealt by the bytes that
+all strings of a block share.  Blocks of equal bytes repeat as a whole.  Only where blocks
+share those bytes and still differ, at the edges of a passage, are their strings dealt one by
+one, by their own digest; that splits the group exactly.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from .suffix_array import longest_repeats
 LEAST = 400
 GRAM = 64
 GROUP_RUNS = 1000
+# Neighbouring starts of a block.
+_BLOCK_STARTS = 42
 # Bytes that are hashed together, and bytes of one suffix array.
 _PIECE = 1 << 18
 _ARRAY_BYTES = 1 << 20
@@ -128,11 +133,33 @@ def _list_runs(least: int):
     return run
 
 
+def _blocks(piece: bytes, gram: int, count: int, least: int) -> Iterator[tuple]:
+    """(core, content, first start, starts, digests) of the blocks of a run's starts."""
+    hashes = _gram_hashes(np.frombuffer(piece, np.uint8)).view(np.int64)
+    # The gram that all strings hold; of equal ones the first was chosen.
+    place = count - 1 + int((hashes[count - 1 : least - GRAM + 1] == gram).argmax())
+    digest = xxhash.xxh3_64_intdigest
+    end = count
+    while end > 0:
+        # Block of the string that starts just before ``end``, by its distance to the gram.
+        block = (place - end + 1) // _BLOCK_STARTS
+        start = max(0, place - (block + 1) * _BLOCK_STARTS + 1)
+        core = piece[place - block * _BLOCK_STARTS : place - (block + 1) * _BLOCK_STARTS + 1 + least]
+        yield (
+            digest(core, block) - 2**63,
+            digest(piece[start : end - 1 + least], place - start) - 2**63,
+            start,
+            end - start,
+            [digest(piece[s : s + least]) - 2**63 for s in range(start, end)],
+        )
+        end = start
+
+
 def _cut(least: int):
-    """Cuts the asked runs out of their texts; strings of large groups become digests."""
+    """Cuts the asked runs out of their texts; those of large groups become blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["large", "gram", "digest", "times", "_key", "_hash", "start", "bytes"]
+        names = _CUT_SCHEMA.names
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             out: list[list] = [[] for _ in names]
@@ -141,37 +168,77 @@ def _cut(least: int):
                 text = texts[i].as_py()
                 key, code = batch.column("_key")[i].as_py(), batch.column("_hash")[i].as_py()
                 for ask in batch.column("asked")[i].as_py():
-                    start, end = ask["start"], ask["start"] + ask["count"] - 1 + least
+                    start, count = ask["start"], ask["count"]
+                    piece = text[start : start + count - 1 + least]
                     if ask["large"]:
                         rows = [
-                            (s, xxhash.xxh3_64_intdigest(text[s : s + least]) - 2**63, None)
-                            for s in range(start, start + ask["count"])
+                            (core, content, start + s, n, digests, None)
+                            for core, content, s, n, digests in _blocks(piece, ask["gram"], count, least)
                         ]
                     else:
-                        rows = [(start, 0, text[start:end])]
-                    for s, digest, piece in rows:
-                        values = (ask["large"], ask["gram"], digest, ask["times"], key, code, s, piece)
-                        for into, value in zip(out, values):
+                        rows = [(None, None, start, count, None, piece)]
+                    for core, content, s, n, digests, piece in rows:
+                        values = (ask["large"], ask["gram"], core, content, ask["times"], key, code, s, n)
+                        for into, value in zip(out, (*values, digests, piece)):
                             into.append(value)
-                        size += len(piece or b"") + 64
+                        size += len(piece or b"") + 8 * len(digests or ()) + 64
                     if size > 8 << 20:
-                        yield _batch(out, names)
+                        yield _batch(out)
                         out, size = [[] for _ in names], 0
             if out[0]:
-                yield _batch(out, names)
+                yield _batch(out)
 
     return run
 
 
 _CUT = (
-    "large boolean, gram long, digest long, times long, _key long, _hash long, start long, "
-    "bytes binary"
+    "large boolean, gram long, core long, content long, times long, _key long, _hash long, "
+    "start long, count long, digests array<long>, bytes binary"
+)
+_CUT_SCHEMA = pa.schema(
+    [
+        ("large", pa.bool_()),
+        *[(n, pa.int64()) for n in ("gram", "core", "content", "times", "_key", "_hash", "start", "count")],
+        ("digests", pa.list_(pa.int64())),
+        ("bytes", pa.binary()),
+    ]
 )
-_CUT_TYPES = [pa.bool_(), *[pa.int64()] * 6, pa.binary()]
 
 
-def _batch(columns: list[list], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _CUT_TYPES)], names=names)
+def _batch(columns: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, f.type) for c, f in zip(columns, _CUT_SCHEMA)], schema=_CUT_SCHEMA
+    )
+
+
+def _of_large_groups(cut: DataFrame, least: int) -> DataFrame:
+    """(length, _key, _hash, start): repeated spans among the blocks of large groups."""
+    blocks = cut.where("large")
+    place = F.struct("_key", "_hash", "start", "digests")
+    kinds = written(
+        blocks.groupBy("gram", "core", "content").agg(
+            F.sum("times").alias("times"), F.first(place).alias("one")
+        ),
+        "block-contents",
+    )
+    whole = blocks.join(
+        kinds.where("times > 1").select("gram", "core", "content"), ["gram", "core", "content"]
+    ).select((F.col("count") - 1 + least).alias("length"), "_key", "_hash", "start")
+    several = kinds.groupBy("gram", "core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    strings = (
+        kinds.join(several, ["gram", "core"])
+        .select("gram", "times", "one._key", "one._hash", "one.start", F.posexplode("one.digests"))
+        .select(
+            "gram", F.col("col").alias("digest"), "times", "_key", "_hash",
+            (F.col("start") + F.col("pos")).alias("start"),
+        )
+    )
+    again = strings.groupBy("gram", "digest").agg(F.sum("times").alias("n")).where("n > 1")
+    # What repeats as a block is listed already.
+    single = strings.where("times = 1").join(again.select("gram", "digest"), ["gram", "digest"])
+    return whole.unionByName(
+        single.select(F.lit(least).cast("long").alias("length"), "_key", "_hash", "start")
+    )
 
 
 def _search(least: int):
@@ -258,12 +325,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, group_runs: int = GROUP_
         .sortWithinPartitions("gram")
         .mapInArrow(_search(least), "length long, _key long, _hash long, start long")
     )
-    strings = cut.where("large").select("gram", "digest", "times", "_key", "_hash", "start")
-    again = strings.groupBy("gram", "digest").agg(F.sum("times").alias("n")).where("n > 1")
-    dealt = strings.join(again.select("gram", "digest"), ["gram", "digest"]).select(
-        F.lit(least).cast("long").alias("length"), "_key", "_hash", "start"
-    )
-    return whole.unionByName(arrays).unionByName(dealt)
+    return whole.unionByName(arrays).unionByName(_of_large_groups(cut, least))
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -53,8 +53,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, _key, _hash, fingerprint) per row, the fingerprint as a signed long."""
+def shingle_hashes(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, _key, _hash, hashes) per row, a hash per shingle of so many words."""
     rows = with_row_key(pick(docs, "doc_id", "text"))
     lower = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
     words = rows.select(
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
     hashes = F.transform(
         full, lambda x: F.xxhash64(F.concat_ws(" ", *[x[f"w{i}"] for i in range(shingle)]))
     )
-    hashed = words.select(
+    return words.select(
         "doc_id",
         "_key",
         "_hash",
@@ -77,7 +77,11 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
         .otherwise(F.array().cast("array<bigint>"))
         .alias("hashes"),
     )
-    return hashed.mapInArrow(
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, _key, _hash, fingerprint) per row, the fingerprint as a signed long."""
+    return shingle_hashes(docs, shingle).mapInArrow(
         _fingerprints, "doc_id long, _key long, _hash long, fingerprint long"
     )
 

@@ -67,12 +67,12 @@ def shards_of(values, nodes: list[tuple[int, int]], reach: int):
     return row, node - len(nodes), home
 
 
-def _split(points, rows, draw):
+def _split(points, rows, draw, gap):
     """A vantage point and radius that leave some of the rows on either side, or None if all
     of a few points tried see every row at one distance."""
     for _ in range(4):
         point = points[rows[draw.integers(len(rows))]]
-        away = distance(points[rows], point)
+        away = gap(points[rows], point)
         radius = int(np.median(away))
         if not (away > radius).any():
             radius = int(away.max()) - 1
@@ -82,16 +82,19 @@ def _split(points, rows, draw):
     return None
 
 
-def near_pairs(halves, members, queries, reach: int, limit: int, seed: int = 7):
+def near_pairs(halves, members, queries, reach: int, limit: int, seed: int = 7, gap=distance):
     """Blocks of (member, query) indices whose fingerprints differ in at most ``limit`` bits.
 
     ``halves`` takes fingerprints to the half that this shard is about, on which they differ
-    in at most ``reach`` bits.  A tree is grown over the members and all queries walk down
+    in at most ``reach`` bits; ``gap`` is the distance of whole ones.  A tree is grown over the members and all queries walk down
     with it.  Members that agree too well in their halves are split by the whole fingerprint
     instead.  Where few are left, they are compared with the queries in blocks.
     """
     draw = np.random.default_rng(seed)
-    metrics = [(halves(members), halves(queries), reach), (members, queries, limit)]
+    metrics = [
+        (halves(members), halves(queries), reach, distance),
+        (members, queries, limit, gap),
+    ]
     todo = [(np.arange(len(members)), np.arange(len(queries)), 0)]
     while todo:
         here, asked, level = todo.pop()
@@ -99,20 +102,20 @@ def near_pairs(halves, members, queries, reach: int, limit: int, seed: int = 7):
             continue
         found = None
         while len(here) > _LEAF and level < 2 and found is None:
-            found = _split(metrics[level][0], here, draw)
+            found = _split(metrics[level][0], here, draw, metrics[level][3])
             level += found is None
         if found is None:
             step = max(1, _BLOCK // len(here))
             for i in range(0, len(asked), step):
                 block = asked[i : i + step]
-                close = distance(members[here][:, None], queries[block][None, :]) <= limit
+                close = gap(members[here][:, None], queries[block][None, :]) <= limit
                 m, q = np.nonzero(close)
                 if len(m):
                     yield here[m], block[q]
             continue
         point, radius, inside = found
-        _, questions, near = metrics[level]
-        away = distance(questions[asked], point).astype(np.int64)
+        _, questions, near, away_from = metrics[level]
+        away = away_from(questions[asked], point).astype(np.int64)
         todo.append((here[inside], asked[away - near <= radius], level))
         todo.append((here[~inside], asked[away + near > radius], level))
 
