@@ -16,12 +16,12 @@ from twinlabel.llm.decontamination import without_contaminated
 from twinlabel.llm.exact_dedup import without_exact_duplicates
 from twinlabel.llm.language_id import in_some_language
 from twinlabel.llm.mixing import mixed_rows
-from twinlabel.llm.simhash_dedup import without_near_duplicates
+from twinlabel.llm.near_copies import without_near_copies
 from twinlabel.session import configure
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out texts without letters and texts in no language for certain."""
+    """Leaves out texts without letters and texts whose words are in no language for certain."""
     return in_some_language(docs)
 
 
@@ -31,8 +31,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-equal fingerprints, the smallest doc_id stays."""
-    return without_near_duplicates(docs)
+    """Of each component of near copies, the row with the smallest doc_id stays."""
+    return without_near_copies(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
