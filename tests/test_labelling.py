@@ -20,6 +20,8 @@ from twinlabel.operators.lookups import (
 from twinlabel.plans import labelling
 from twinlabel.plans.comparison import result_sections
 from twinlabel.plans.labelling import build_model_requests, label_and_log, label_two_stage
+from twinlabel.sources import reply_log
+from twinlabel.sources.payloads import PayloadStore
 from twinlabel.sources.readers import (
     provider_table,
     read_core_pack,
@@ -285,7 +287,108 @@ def test_an_id_that_repeats_keeps_each_image_to_its_own_call(spark, packs, core,
     assert sent == ["category_routing-EMPT", "category_routing-GOOD", "item_identification-GOOD"]
 
 
-def test_speculation_is_reported(spark, packs, core, tmp_path, monkeypatch):
+def test_speculation_is_refused(spark, packs, core, tmp_path, monkeypatch):
     monkeypatch.setattr(labelling, "speculates", lambda _: True)
-    with pytest.warns(UserWarning, match="speculation"):
+    with pytest.raises(ValueError, match="speculation"):
         label_two_stage(requests(spark, ROWS[5:6]), packs, core, {}, str(tmp_path / "w"))
+    assert not (tmp_path / "w").exists()
+
+
+def test_payloads_stay_in_their_buckets(spark, tmp_path):
+    rows = requests(spark, [(str(i % 7), "gemini", f"A{i:03d}") for i in range(50)])
+    store = PayloadStore(rows.select("request_id", "image"), str(tmp_path / "store"), 3)
+    calls = store.rows().where("place % 2 = 0").select("place", "request_id")
+    joined = store.beside(calls, "image")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "Scan parquet" in line and "image" in line]
+    assert len(scans) == 1 and "Bucketed: true" in scans[0]
+    # The only exchange is that of the narrow side.
+    before = plan[: plan.index(scans[0])]
+    assert plan.count("Exchange") <= 1 and "Sort" not in before
+    assert joined.rdd.getNumPartitions() == 3
+    want = {(r.place, r.image) for r in store.rows().collect() if r.place % 2 == 0}
+    assert {(r.place, r.image) for r in joined.collect()} == want
+    store.drop()
+    assert not (tmp_path / "store").exists()
+
+
+def test_a_failed_task_repeats_one_batch_at_most(spark, packs, core, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    (calls / "healed").touch()
+    work = str(tmp_path / "work")
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def fragile():
+        def answer(request):
+            import os
+            import pathlib
+
+            seen = len(os.listdir(asked))
+            pathlib.Path(asked, f"{seen:04d}-{request['image']}").touch()
+            if seen == 25:
+                os._exit(1)
+            return '{"category":"fasteners","reason":"has a thread"}'
+
+        return answer
+
+    rows = requests(spark, [(str(i), "gemini", f"A{i:03d}") for i in range(40)])
+    with pytest.raises(Exception):
+        label_two_stage(rows, packs, core, {"gemini": fragile}, work, max_clients=1, batch_calls=4)
+    # 25 calls were answered: six batches of four are kept.
+    assert spark.read.parquet(f"{work}/stage=1").count() == 24
+    done = label_two_stage(rows, packs, core, factory(str(calls)), work, max_clients=1, batch_calls=4)
+    assert done.where("status = 200").count() == 40
+    assert len([p for p in calls.iterdir() if p.name.startswith("category_routing")]) == 16
+
+
+def test_an_attempt_goes_on_where_the_last_one_stopped(spark, tmp_path, monkeypatch):
+    """The files of the same job and task are not asked for again."""
+    fixed = type("Id", (), {"hex": "job"})
+    monkeypatch.setattr(reply_log.uuid, "uuid4", lambda: fixed)
+    rows = [(f"k{i}", "p", "m", "q", "i", "j") for i in range(10)]
+    calls = spark.createDataFrame(rows, "call_key string, provider string, model string, "
+                                        "prompt string, image string, mime string").coalesce(1)
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def client():
+        class Many:
+            def many(self, requests):
+                import pathlib
+
+                for r in requests:
+                    pathlib.Path(asked, r["call_key"]).touch()
+                return [ValueError("odd") if r["call_key"] == "k3" else r["call_key"] for r in requests]
+
+        return Many()
+
+    path = str(tmp_path / "replies")
+    reply_log.append_replies(calls.where("call_key < 'k6'"), {"p": client}, {}, path, 2)
+    for name in list(asked.iterdir()):
+        name.unlink()
+    reply_log.append_replies(calls, {"p": client}, {}, path, 3)
+    assert sorted(p.name for p in asked.iterdir()) == ["k6", "k7", "k8", "k9"]
+    got = {r.call_key: (r.reply_text, r.error) for r in spark.read.parquet(path).collect()}
+    assert len(got) == 10 and got["k3"] == (None, "ValueError: odd") and got["k9"] == ("k9", None)
+
+
+def test_what_is_asked_for_is_part_of_the_key(spark):
+    rows = requests(spark, [("1", "gemini", "QUJD")])
+    keys = [
+        build_model_requests(r, 2, F.lit("p"), budget).first().call_key
+        for r, budget in ((rows, None), (rows.withColumn("mime", F.lit("image/png")), None), (rows, 1800))
+    ]
+    assert len(set(keys)) == 3
+    assert keys[0] == build_model_requests(rows, 2, F.lit("p"), 2400).first().call_key
+
+
+@pytest.mark.parametrize("many", [
+    lambda self, requests: ["only one"],
+    lambda self, requests: 1 / 0,
+])
+def test_a_client_that_fails_as_a_whole(many):
+    client = type("Client", (), {"many": many})()
+    got = reply_log.ask(client, [{"a": 1}, {"a": 2}])
+    assert len(got) == 2 and all(text is None and error for text, error in got)

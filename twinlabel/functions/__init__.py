@@ -21,7 +21,7 @@ from .images import (  # noqa: F401
     target_size,
 )
 from .nested import nonempty, spec_or_empty, spec_side_by_side  # noqa: F401
-from .prompts import call_key, render_prompt, request_body, result_payload  # noqa: F401
+from .prompts import call_key, contract, render_prompt, request_body, result_payload  # noqa: F401
 from .replies import (  # noqa: F401
     all_output_text,
     answer_or_empty,

@@ -47,10 +47,20 @@ def render_prompt(template: str, **slots: Column) -> Column:
     return F.concat(*pieces) if pieces else F.lit("")
 
 
-def call_key(image_hash: Column, provider: Column, model: Column, stage: int, prompt: Column) -> Column:
+def contract(stage: int, budget: int | None = None) -> str:
+    """What a call of a stage asks for besides its prompt, in one line."""
+    return f"{SCHEMA_NAMES[stage]} {budget or OUTPUT_BUDGET[stage]} {JSON_SCHEMAS[stage]}"
+
+
+def call_key(image_hash: Column, provider: Column, model: Column, stage: int, prompt: Column,
+             mime: Column, budget: int | None = None) -> Column:
     """Equal for two calls that would send the same thing to the same model."""
     return F.sha2(
-        F.concat_ws("\n", image_hash, provider, model, F.lit(str(stage)), F.sha2(prompt, 256)), 256
+        F.concat_ws(
+            "\n", image_hash, provider, model, F.lit(str(stage)), F.sha2(prompt, 256),
+            F.coalesce(mime, F.lit("")), F.sha2(F.lit(contract(stage, budget)), 256),
+        ),
+        256,
     )
 
 

@@ -9,10 +9,8 @@ job nor a rerun pays for a finished call again.
 from __future__ import annotations
 
 import uuid
-import warnings
-from collections.abc import Callable, Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,53 +32,19 @@ from ..operators.lookups import attach_category_pack, attach_core_pack, provider
 from ..operators.reports import envelope
 from ..schemas import IDENTIFICATION, STORED_REPLY
 from ..session import path_exists
+from ..sources.payloads import PayloadStore
+from ..sources.reply_log import BATCH_CALLS, append_replies
 from ..sources.writers import append_result_log
 
 # A client takes one request (provider, model, prompt, image, mime, schema_name,
-# schema, max_output_tokens) and returns the reply text.  A factory makes one
-# client per provider and task.
+# schema, max_output_tokens) and returns the reply text; with a method ``many`` it takes a
+# list of them.  A factory makes one client per provider and task.
 Client = Callable[[dict], str]
 ClientFactory = Callable[[], Client]
 
 _CALL_COLUMNS = ("call_key", "provider", "model", "prompt", "image", "mime")
 
 
-def call_clients(calls: DataFrame, factories: Mapping[str, ClientFactory], stage: int) -> DataFrame:
-    """Run the clients over ``calls``; a failing call costs its own row only."""
-    fixed = {
-        "schema_name": SCHEMA_NAMES[stage],
-        "schema": JSON_SCHEMAS[stage],
-        "max_output_tokens": OUTPUT_BUDGET[stage],
-    }
-    factories = dict(factories)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        clients: dict[str, Client] = {}
-        for batch in batches:
-            replies, errors = [], []
-            for request in batch.to_dict("records"):
-                text = error = None
-                try:
-                    provider = request["provider"]
-                    if provider not in clients:
-                        clients[provider] = factories[provider]()
-                    text = clients[provider]({**request, **fixed})
-                except Exception as exc:  # errors are data
-                    error = f"{type(exc).__name__}: {exc}"
-                replies.append(text)
-                errors.append(error)
-            yield pd.DataFrame(
-                {
-                    "call_key": batch["call_key"],
-                    "provider": batch["provider"],
-                    "reply_text": pd.Series(replies, index=batch.index, dtype=object),
-                    "error": pd.Series(errors, index=batch.index, dtype=object),
-                }
-            )
-
-    return calls.select(*_CALL_COLUMNS).mapInPandas(run, STORED_REPLY)
-
-
 def speculates(spark: SparkSession) -> bool:
     """Whether Spark may run a second copy of a slow task, and so repeat its calls."""
     return spark.conf.get("spark.speculation", "false") == "true"
@@ -107,42 +71,34 @@ def read_stored_replies(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def answer_calls(calls: DataFrame, payloads: DataFrame, factories: Mapping[str, ClientFactory],
-                 stage: int, path: str, settled: str, max_clients: int | None = None) -> DataFrame:
+def answer_calls(calls: DataFrame, store: PayloadStore, factories: Mapping[str, ClientFactory],
+                 stage: int, path: str, settled: str, batch_calls: int = BATCH_CALLS) -> DataFrame:
     """Make the calls ``path`` has no success for, append them, return all replies.
 
-    ``calls``: request_id, image_hash, call_key, provider, model, prompt;
-    ``payloads``: request_id, image, mime.  Equal calls are made once.  Which
-    rows to send is settled on narrow rows; payloads are shuffled once, into as
-    many tasks as there may be clients.  A call finds its payload by the id and
-    the hash of the image, so an id that repeats with another image never
-    lends it to this call.
+    ``calls``: place, call_key, provider, model, prompt, mime.  Equal calls are made once, with
+    the payload of the first place that asks for them.  Which rows to send is settled on narrow
+    rows; payloads stay in the buckets of the store, a task each.
     """
     spark = calls.sparkSession
-    pending = calls.select("call_key", "request_id")
+    pending = calls.select("call_key", "place")
     if path_exists(spark, path):
         done = spark.read.schema(STORED_REPLY).parquet(path).where("reply_text is not null")
         pending = pending.join(done.select("call_key"), "call_key", "left_anti")
-    chosen = pending.groupBy("call_key").agg(F.min("request_id").alias("request_id"))
-    narrow = calls.join(chosen, ["call_key", "request_id"], "left_semi")
-    by = ("request_id", "image_hash")
-    width = max_clients or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    to_send = (
-        payloads.select("request_id", "image", "mime")
-        .withColumn("image_hash", sha256(F.coalesce(F.col("image"), F.lit(""))))
-        .repartition(width, *by)
-        .join(narrow.repartition(width, *by), list(by))
-        # Rows that repeat an id and its image are one call; they are in one task already.
-        .dropDuplicates([*by, "call_key"])
+    chosen = pending.groupBy("call_key").agg(F.min("place").alias("place"))
+    narrow = calls.join(chosen, ["call_key", "place"], "left_semi")
+    to_send = store.beside(narrow, "image").select(*_CALL_COLUMNS)
+    fixed = {
+        "schema_name": SCHEMA_NAMES[stage],
+        "schema": JSON_SCHEMAS[stage],
+        "max_output_tokens": OUTPUT_BUDGET[stage],
+    }
+    append_replies(to_send, factories, fixed, path, batch_calls)
+    replies = read_stored_replies(spark, path) if path_exists(spark, path) else (
+        spark.createDataFrame([], "call_key string, reply_text string, error string")
     )
-    # Version 2 publishes the files of each task as it ends, so the replies of finished
-    # tasks survive a failed job; a reply published twice settles to one below.
-    call_clients(to_send, factories, stage).write.mode("append").option(
-        "mapreduce.fileoutputcommitter.algorithm.version", "2"
-    ).parquet(path)
     # As a table of its own the replies are shuffled by their reader's join, which
     # is what lets AQE split a key shared by very many requests.
-    return _written(read_stored_replies(spark, path), settled)
+    return _written(replies, settled)
 
 
 def prepare_requests(requests: DataFrame, configured: Iterable[str]) -> DataFrame:
@@ -160,10 +116,11 @@ def prepare_requests(requests: DataFrame, configured: Iterable[str]) -> DataFram
     )
 
 
-def with_call(requests: DataFrame, stage: int, prompt: Column) -> DataFrame:
+def with_call(requests: DataFrame, stage: int, prompt: Column, budget: int | None = None) -> DataFrame:
     return requests.withColumn("prompt", prompt).withColumn(
         "call_key",
-        call_key(F.col("image_hash"), F.col("provider"), F.col("model"), stage, F.col("prompt")),
+        call_key(F.col("image_hash"), F.col("provider"), F.col("model"), stage, F.col("prompt"),
+                 F.col("mime"), budget),
     )
 
 
@@ -176,7 +133,7 @@ def build_model_requests(requests: DataFrame, stage: int, prompt: Column,
             "image_hash": sha256(F.coalesce(F.col("image"), F.lit(""))),
         }
     )
-    return with_call(prepared, stage, prompt).select(
+    return with_call(prepared, stage, prompt, budget).select(
         "request_id", "provider", "model", "call_key",
         request_body(F.col("provider"), F.col("model"), F.col("image"), F.col("prompt"), stage,
                      F.col("mime"), budget).alias("body"),
@@ -208,7 +165,7 @@ def _parsed(replied: DataFrame, guard: Callable[[Column], Column], prefix: str)
 def label_two_stage(requests: DataFrame, packs: DataFrame, core: DataFrame,
                     factories: Mapping[str, ClientFactory], work: str,
                     max_clients: int | None = None, templates: Mapping[int, str] = TEMPLATES,
-                    ) -> DataFrame:
+                    batch_calls: int = BATCH_CALLS) -> DataFrame:
     """Label every request; one result row per request row.
 
     ``requests``: request_id (unique), image_id, provider, image, mime, ts.
@@ -218,25 +175,29 @@ def label_two_stage(requests: DataFrame, packs: DataFrame, core: DataFrame,
     between the steps; calls that succeeded in an earlier run over the same
     folder are not made again.
 
-    A row failing at one step never enters the next.  Payloads are read three
-    times, to check and hash them and for each stage's calls, and never pass
-    through any other join; all other steps run on narrow written tables.
+    A row failing at one step never enters the next.  Payloads are checked, hashed and put into
+    the buckets of a store in one pass, as many as there may be clients; the stages' calls read
+    them there, and all other steps run on narrow written tables.  Replies are committed after
+    every ``batch_calls`` calls of a task.  Spark must not run slow tasks twice.
     """
-    if speculates(requests.sparkSession):
-        warnings.warn("spark.speculation is on: slow model calls will be made twice", stacklevel=2)
+    spark = requests.sparkSession
+    if speculates(spark):
+        raise ValueError("turn spark.speculation off: it makes slow model calls twice")
     run = _run_folder(work)
-    facts = _written(
-        prepare_requests(requests, factories).select(
-            "request_id", "image_id", "provider", "model", "ts", "image_hash", "body_ok",
-            "payload_ok", "provider_ready",
-        ),
-        f"{run}/requests",
+    buckets = max_clients or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    facts_columns = [
+        "request_id", "image_id", "provider", "model", "ts", "mime", "image_hash", "body_ok",
+        "payload_ok", "provider_ready",
+    ]
+    store = PayloadStore(
+        prepare_requests(requests, factories).select(*facts_columns, "image"), f"{run}/payloads", buckets
     )
+    facts = _written(store.rows().select("place", *facts_columns), f"{run}/requests")
     is_ready = F.col("body_ok") & F.col("payload_ok") & F.col("provider_ready")
 
     first = with_call(facts.where(is_ready), 1, render_prompt(templates[1]))
     replies_1 = answer_calls(
-        first, requests, factories, 1, f"{work}/stage=1", f"{run}/replies_1", max_clients
+        first, store, factories, 1, f"{work}/stage=1", f"{run}/replies_1", batch_calls
     )
     routed = _written(
         first.drop("prompt")
@@ -265,8 +226,9 @@ def label_two_stage(requests: DataFrame, packs: DataFrame, core: DataFrame,
                       core=F.col("core"), pack=F.col("pack")),
     ).drop("pack", "core")
     replies_2 = answer_calls(
-        second, requests, factories, 2, f"{work}/stage=2", f"{run}/replies_2", max_clients
+        second, store, factories, 2, f"{work}/stage=2", f"{run}/replies_2", batch_calls
     )
+    store.drop()
     described = (
         second.drop("prompt")
         .join(replies_2, "call_key", "left")

@@ -146,7 +146,8 @@ def render_prompt(spark, sf_dir):
 
 @query(f"""
   SELECT doc_id, provider, sha256(concat_ws(E'\\n', sha256(image), provider,
-           {_case_sql('provider', MODELS)}, '1', sha256({_prompt_sql(1)}))) AS call_key,
+           {_case_sql('provider', MODELS)}, '1', sha256({_prompt_sql(1)}), 'image/jpeg',
+           sha256('{T.contract(1)}'))) AS call_key,
          {_case_sql('provider', MODELS)} AS body_model,
          md5(CASE provider WHEN 'gemini' THEN image
              ELSE 'data:image/jpeg;base64,' || image END) AS image_md5,
