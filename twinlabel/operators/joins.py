@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,21 +14,26 @@ NULL_PIECES = 4096
 
 
 def hot_keys(rows: DataFrame, key: str, share: float = HOT_SHARE,
-             min_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys that hold more than ``share`` of all rows (and more than ``min_rows``).
+             min_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Keys that hold more than ``share`` of all rows (and more than ``min_rows``), or None.
 
-    ``_pieces`` says into how many parts of about ``share`` a key is cut.  There
-    are fewer than ``1 / share`` such keys and fewer than ``2 / share`` pieces,
-    whatever the size of the data, so the table may be broadcast.
+    ``_pieces`` says into how many parts of about ``share`` a key is cut.  There are fewer than
+    ``1 / share`` such keys and ``2 / share`` pieces, whatever the size of the data.  One pass
+    over the key column feeds a mergeable sketch of frequent items, a bounded one per task; its
+    counts are at most a tenth of ``share`` off, which only moves the cut.
     """
-    size = rows.agg(F.count("*").alias("n")).scalar()
-    limit = F.greatest(size * F.lit(share), F.lit(float(min_rows)))
-    return (
-        rows.groupBy(key)
-        .agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > limit)
-        .select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_pieces"))
+    top = math.ceil(1 / share)
+    found = rows.select(F.col(key).alias("k")).agg(
+        F.count("*").alias("n"), F.expr(f"approx_top_k(k, {top}, {10 * top})").alias("top")
     )
+    seen = found.first()
+    limit = max(seen["n"] * share, float(min_rows))
+    hot = [(t["item"], math.ceil(t["count"] / limit)) for t in seen["top"]
+           if t["item"] is not None and t["count"] > limit]
+    if not hot:
+        return None
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.sparkSession.createDataFrame(hot, f"{key} {kind}, _pieces int")
 
 
 def hot_key_join(rows: DataFrame, per_key: DataFrame, key: str, spread: str, how: str = "left",
@@ -38,14 +45,16 @@ def hot_key_join(rows: DataFrame, per_key: DataFrame, key: str, spread: str, how
     repeated per piece.  All other keys have a single piece.  Null keys match
     nothing and are spread over ``NULL_PIECES``.
     """
-    hot = F.broadcast(hot_keys(rows, key, share, min_rows))
-    pieces = F.coalesce("_pieces", F.lit(1))
+    hot = hot_keys(rows, key, share, min_rows)
+    pieces = F.lit(1)
+    left, right = rows, per_key
+    if hot is not None:
+        pieces = F.coalesce("_pieces", F.lit(1))
+        left, right = (side.join(F.broadcast(hot), key, "left") for side in (rows, per_key))
     spread_over = F.when(F.col(key).isNull(), NULL_PIECES).otherwise(pieces)
-    left = rows.join(hot, key, "left").withColumn("_piece", F.pmod(F.hash(spread), spread_over))
-    right = per_key.join(hot, key, "left").withColumn(
-        "_piece", F.explode(F.sequence(F.lit(0), pieces - 1))
-    )
-    return left.drop("_pieces").join(right.drop("_pieces"), [key, "_piece"], how).drop("_piece")
+    left = left.withColumn("_piece", F.pmod(F.hash(spread), spread_over)).drop("_pieces")
+    right = right.withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("_pieces")
+    return left.join(right, [key, "_piece"], how).drop("_piece")
 
 
 def case_join(cases: DataFrame, facts: DataFrame, name: str, key: str = "id",
@@ -115,6 +124,12 @@ def all_pass(df: DataFrame, ok: Column) -> Column:
     )
 
 
+def all_ok(df: DataFrame, ok: Column) -> bool:
+    """:func:`all_pass`, asked now."""
+    held = df.agg(F.bool_and(F.coalesce(ok, F.lit(False))).alias("ok")).first()["ok"]
+    return held is not False
+
+
 def global_gate(df: DataFrame, ok: Column, column: str = "gate_open") -> DataFrame:
     """Every row learns whether all rows passed."""
     return df.withColumn(column, all_pass(df, ok))

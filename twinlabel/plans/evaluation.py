@@ -30,7 +30,7 @@ from ..functions.text import (
 )
 from ..operators.folds import failure_count
 from ..operators.gates import BASIC_POLICY, STRICT_POLICY, require_gates
-from ..operators.joins import all_pass, hot_key_join, last_of_each
+from ..operators.joins import all_ok, hot_key_join, last_of_each
 from ..operators.reports import case_projection_gated, case_projection_isolated, numbered
 from ..sources.writers import write_eval_report
 
@@ -241,8 +241,9 @@ def evaluate_gated(cases: DataFrame, images: DataFrame, replies: DataFrame,
     passed = images.groupBy("id").agg(F.bool_or(F.col("status") == "ok").alias("ok"))
     # One failed or missing image is enough; ids are compared once each.
     ids = cases.select("id").distinct().join(passed, "id", "left")
-    gate = all_pass(ids, F.col("ok"))
-    facts = _facts(images, replies.where(gate), latest)
+    # The gate is settled first: a shut one leaves the replies unread.
+    gate = all_ok(ids, F.col("ok"))
+    facts = _facts(images, replies if gate else replies.limit(0), latest)
     per_id = last_of_each(case_projection_gated(cases)).join(facts, "id", "left")
     joined = hot_key_join(cases.select("id", "pos"), per_id, "id", "pos")
     ok = F.coalesce(F.col("validation.status") == "ok", F.lit(False))
@@ -252,7 +253,7 @@ def evaluate_gated(cases: DataFrame, images: DataFrame, replies: DataFrame,
             F.when(ok, F.col("validation.resolved_url")).alias("resolved_url"),
             _validation(F.col("validation"), "preflight_failed", fields).alias("validation"),
         ),
-    ).drop("validation").withColumn("gate_open", gate)
+    ).drop("validation").withColumn("gate_open", F.lit(gate))
     return _with_result(
         checked, F.col("gate_open"), "skipped_global_preflight", compare_gated
     ).drop("gate_open")
