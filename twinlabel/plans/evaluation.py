@@ -7,7 +7,7 @@ Errors are columns; no row is ever lost to an exception.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..constants import ABSENT_SPEC
@@ -32,6 +32,7 @@ from ..operators.folds import failure_count
 from ..operators.gates import BASIC_POLICY, STRICT_POLICY, require_gates
 from ..operators.joins import all_ok, hot_key_join, last_of_each
 from ..operators.reports import case_projection_gated, case_projection_isolated, numbered
+from ..session import scratch_dir
 from ..sources.writers import write_eval_report
 
 NOTE_ISOLATED = "Specification values stand side by side for review; nothing judges their meaning."
@@ -41,10 +42,10 @@ NOTE_GATED = (
 )
 
 
-def read_reply(replies: DataFrame) -> DataFrame:
-    """Landed bodies to ``ai_response`` (VARIANT) or ``api_error``, one row per id."""
+def read_reply(replies: DataFrame, *carried: str) -> DataFrame:
+    """Landed bodies to ``ai_response`` (VARIANT) or ``api_error``, one row per reply."""
     return (
-        replies.select("id", "http_status", "body")
+        replies.select("id", "http_status", "body", *carried)
         .withColumn("_body", parse_json(F.col("body")))
         .withColumn("_items", content_items(F.col("_body")))
         .withColumn("_joined", all_output_text(F.col("_body"), F.col("_items")))
@@ -52,6 +53,7 @@ def read_reply(replies: DataFrame) -> DataFrame:
         .withColumn("_value", parse_json(F.col("_text")))
         .select(
             "id",
+            *carried,
             F.when(F.col("_body").isNull(), F.lit("bad_json: reply body"))
             .when(
                 ~F.col("http_status").between(200, 299),
@@ -148,7 +150,9 @@ def _checked(images: DataFrame, latest: str | None) -> DataFrame:
     rest = [c for c in images.columns if c not in ("id", latest)]
     spelled = F.struct(F.col("status") == "ok", F.to_json(F.struct(*rest)))
     order = F.struct(latest, spelled) if latest else spelled
-    return images.groupBy("id").agg(F.max_by(F.struct(*rest), order).alias("validation"))
+    return images.groupBy("id").agg(
+        F.max_by(F.struct(*rest), order).alias("validation"), F.count("*").alias("_images")
+    )
 
 
 def _validation(column: Column, failed_status: str, fields: list[str]) -> Column:
@@ -187,11 +191,13 @@ def _with_result(df: DataFrame, open_gate: Column, skipped: str, compare) -> Dat
     )
 
 
-def _facts(images: DataFrame, replies: DataFrame, latest: str | None) -> DataFrame:
+def _facts(images: DataFrame, replies: DataFrame, latest: str | None,
+           quality: Observation | None) -> DataFrame:
     """``validation`` and ``_reply`` side by side, one row per id.
 
     Of several rows with one id the greatest ``latest`` counts; without such a column, and
     between equal ones, a good one is taken before a bad one and else the greatest text.
+    ``quality`` learns how many ids had several, from the same pass.
     """
     spelled = F.struct(
         F.col("api_error").isNull(), F.coalesce("api_error", F.lit("")), F.to_json("ai_response")
@@ -201,23 +207,33 @@ def _facts(images: DataFrame, replies: DataFrame, latest: str | None) -> DataFra
         replies = replies.groupBy("id").agg(
             F.max_by(
                 F.struct("http_status", "body"), F.struct(latest, "http_status", "body")
-            ).alias("_last")
-        ).select("id", "_last.*")
-    answered = (
-        read_reply(replies)
-        .groupBy("id")
-        .agg(F.max_by(F.struct("api_error", "ai_response"), spelled).alias("_reply"))
+            ).alias("_last"),
+            F.count("*").alias("_rows"),
+        ).select("id", "_last.*", "_rows")
+    else:
+        replies = replies.withColumn("_rows", F.lit(1))
+    answered = read_reply(replies, "_rows").groupBy("id").agg(
+        F.max_by(F.struct("api_error", "ai_response"), spelled).alias("_reply"),
+        F.sum("_rows").alias("_replies"),
     )
-    return _checked(images, latest).join(answered, "id", "full")
+    facts = _checked(images, latest).join(answered, "id", "full")
+    if quality is not None:
+        facts = facts.observe(
+            quality,
+            F.count_if(F.col("_images") > 1).alias("repeated_images"),
+            F.count_if(F.col("_replies") > 1).alias("repeated_replies"),
+        )
+    return facts.drop("_images", "_replies")
 
 
 def evaluate_isolated(cases: DataFrame, images: DataFrame, replies: DataFrame,
-                      latest: str | None = None) -> DataFrame:
+                      latest: str | None = None, quality: Observation | None = None) -> DataFrame:
     """Per-case isolation.  ``images``: id, status, error and observations;
     ``replies``: id, http_status, body.  ``latest`` names a column of both that tells which of
-    several rows with one id is the last.  Order the report with ``dataset_order``."""
+    several rows with one id is the last; ``quality`` is told how many ids had several once the
+    report is computed.  Order the report with ``dataset_order``."""
     fields = [c for c in images.columns if c not in ("id", latest)]
-    facts = _facts(images, replies, latest)
+    facts = _facts(images, replies, latest, quality)
     joined = hot_key_join(case_projection_isolated(cases), facts, "id", "pos")
     checked = joined.withColumn(
         "image",
@@ -230,11 +246,11 @@ def evaluate_isolated(cases: DataFrame, images: DataFrame, replies: DataFrame,
 
 
 def evaluate_gated(cases: DataFrame, images: DataFrame, replies: DataFrame,
-                   latest: str | None = None) -> DataFrame:
+                   latest: str | None = None, quality: Observation | None = None) -> DataFrame:
     """All or nothing.  ``images`` additionally holds ``resolved_url``.
 
-    Of several cases with one id each row carries the last one's content; ``latest`` is as in
-    ``evaluate_isolated``.  No reply is parsed while the gate is shut.  Order the report with
+    Of several cases with one id each row carries the last one's content; ``latest`` and
+    ``quality`` are as in ``evaluate_isolated``.  No reply is parsed while the gate is shut.  Order the report with
     ``order_by_id``.
     """
     fields = [c for c in images.columns if c not in ("id", "resolved_url", latest)]
@@ -243,7 +259,7 @@ def evaluate_gated(cases: DataFrame, images: DataFrame, replies: DataFrame,
     ids = cases.select("id").distinct().join(passed, "id", "left")
     # The gate is settled first: a shut one leaves the replies unread.
     gate = all_ok(ids, F.col("ok"))
-    facts = _facts(images, replies if gate else replies.limit(0), latest)
+    facts = _facts(images, replies if gate else replies.limit(0), latest, quality)
     per_id = last_of_each(case_projection_gated(cases)).join(facts, "id", "left")
     joined = hot_key_join(cases.select("id", "pos"), per_id, "id", "pos")
     ok = F.coalesce(F.col("validation.status") == "ok", F.lit(False))
@@ -287,18 +303,25 @@ def evaluation_run(header: DataFrame, cases: DataFrame, images: DataFrame, repli
     Stops with an error before anything is compared if the dataset's policy does not hold or a
     case lacks ground truth; the gated run asks for one flag more.  The report is written below
     ``path`` in the order of ids (gated) or of the dataset, with its ``row``.  Returns the report
-    and its header as written.
+    and its header as written; the header also counts the ids with repeated images or replies.
     """
     require_gates(header, cases, STRICT_POLICY if gated else BASIC_POLICY)
+    spark, quality = cases.sparkSession, Observation()
     evaluate = evaluate_gated if gated else evaluate_isolated
-    report = evaluate(cases, images, replies, latest)
-    ordered = numbered(report, *(["id", "pos"] if gated else ["pos"]))
-    write_eval_report(ordered, lambda r: report_header(header, r, model, gated), path, fmt)
-    spark = cases.sparkSession
+    # Computed once; the sort then samples a table.
+    report = evaluate(cases, images, replies, latest, quality)
+    computed = f"{scratch_dir(spark, 'evaluation')}/report"
+    report.write.parquet(computed)
+    found = {name: F.lit(count).alias(name) for name, count in quality.get.items()}
+    ordered = numbered(
+        spark.read.schema(report.schema).parquet(computed), *(["id", "pos"] if gated else ["pos"])
+    )
+
+    def head(rows: DataFrame) -> DataFrame:
+        return report_header(header, rows, model, gated).select("*", *found.values())
+
+    write_eval_report(ordered, head, path, fmt)
     return tuple(
         spark.read.format(fmt).schema(kind).load(f"{path}/{name}")
-        for name, kind in (
-            ("cases", ordered.schema),
-            ("header", report_header(header, ordered, model, gated).schema),
-        )
+        for name, kind in (("cases", ordered.schema), ("header", head(ordered).schema))
     )

@@ -274,25 +274,32 @@ def image_preflight(spark, sf_dir):
          CASE WHEN err IS NULL THEN 'ok' ELSE 'failed' END AS api_status, err AS api_error,
          CASE WHEN err IS NULL THEN {_CATEGORY_HIT} END AS category_match,
          CASE WHEN err IS NULL THEN lang || ' ' || source END AS purchase_name,
-         'passed_all_images' AS preflight, count(*) FILTER (err IS NOT NULL) OVER () AS failures
+         'passed_all_images' AS preflight, count(*) FILTER (err IS NOT NULL) OVER () AS failures,
+         (SELECT count(*) FROM documents) AS repeated_images,
+         (SELECT count(*) FROM documents WHERE source <> 'src9') AS repeated_replies
   FROM e""")
 def gated_run(spark, sf_dir):
     """A gated evaluation from its gates to its report as JSON, in the order of ids.  Of two
-    replies and two images per case the last one counts."""
+    images per case, and two replies of most, the last one counts."""
     cases, images, replies = cases_and_facts(spark, sf_dir)
     images, replies = as_passed(images), replies.withColumn("seq", F.lit(2))
-    older = replies.withColumns({"seq": F.lit(1), "http_status": F.lit(500)})
+    older = (
+        table(spark, sf_dir, "documents").where("source <> 'src9'")
+        .select(F.col("doc_id").cast("string").alias("id"), F.lit(500).alias("http_status"),
+                F.lit("{}").alias("body"), F.lit(1).alias("seq"))
+    )
     failed = images.withColumns({"status": F.lit("failed"), "error": F.lit("x"), "seq": F.lit(1)})
     report, header = evaluation_run(
         _header(spark), cases, failed.unionByName(images.withColumn("seq", F.lit(2))),
         older.unionByName(replies), f"{scratch_dir(spark, 'gated-run')}/report", "m",
         gated=True, latest="seq",
     )
-    verdict = header.select("preflight", "failures")
+    verdict = header.select("preflight", "failures", "repeated_images", "repeated_replies")
     return report.join(F.broadcast(verdict)).select(
         "row", "id", "pos", "api_status", "api_error",
         F.col("result.category_match_strict").alias("category_match"),
         F.col("result.ground_truth_purchase_name").alias("purchase_name"), "preflight", "failures",
+        "repeated_images", "repeated_replies",
     )
 
 
