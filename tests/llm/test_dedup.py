@@ -294,3 +294,21 @@ def test_hot_near_copies_leave_one(spark):
     made = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted(r.doc_id for r in near_copies.without_near_copies(made).collect())
     assert kept == [0, *range(5000, 5050)]
+
+
+@pytest.mark.parametrize("rate,least", [(0.0, 1.0), (0.05, 0.95), (0.1, 0.9)])
+def test_recall_of_fuzzy_passages(spark, rate, least):
+    draw = random.Random(int(100 * rate))
+    words = [f"w{i}" for i in range(20_000)]
+    filler = lambda n: [draw.choice(words) for _ in range(n)]
+    rows, pairs = [], []
+    for size in (70, 100, 200):
+        for _ in range(30):
+            one = filler(size)
+            two = [w if draw.random() > rate else draw.choice(words) for w in one]
+            pairs.append(frozenset((len(rows), len(rows) + 1)))
+            rows.append((len(rows), " ".join(filler(60) + one + filler(40))))
+            rows.append((len(rows), " ".join(filler(20) + two + filler(90))))
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {frozenset((r.doc_id, r.other_id)) for r in passages.shared_passages(made).collect()}
+    assert got <= set(pairs) and len(got) >= least * len(pairs), (len(got), len(pairs))
