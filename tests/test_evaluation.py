@@ -308,6 +308,9 @@ def test_the_last_of_several_rows_counts(spark, tmp_path):
     got = {r.id: (r.api_status, r.image.validation.error) for r in
            evaluate_isolated(cases, seen, landed, "seq").collect()}
     assert got == {"a": ("skipped", "gone"), "b": ("failed", None)}
+    header = dataset_header(dataset(spark, tmp_path, [case("a"), case("b")]))
+    _, verdict = evaluation_run(header, cases, seen, landed, str(tmp_path / "run"), "m", False, "seq")
+    assert (verdict.first().repeated_images, verdict.first().repeated_replies) == (2, 1)
 
 
 @pytest.mark.parametrize("size", ["300", "100000"])

@@ -392,3 +392,17 @@ def test_a_client_that_fails_as_a_whole(many):
     client = type("Client", (), {"many": many})()
     got = reply_log.ask(client, [{"a": 1}, {"a": 2}])
     assert len(got) == 2 and all(text is None and error for text, error in got)
+
+
+def test_another_table_of_providers(spark, packs, core, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    own = [("mine", "model-7", "Mine", "")]
+    rows = requests(spark, [("1", "mine", "GOOD"), ("2", "gemini", "GOOD")])
+    make = factory(str(calls))["gemini"]
+    got = {r.request_id: (r.status, r.model) for r in label_two_stage(
+        rows, packs, core, {"mine": make, "gemini": make}, str(tmp_path / "w"), providers=own).collect()}
+    assert got == {"1": (200, "model-7"), "2": (503, None)}
+    known = attach_provider(rows, own).first()
+    assert (known.model, known.provider_label, known.provider_ordinal) == ("model-7", "Mine", 0)
+    assert [r.request_id for r in unknown_provider_rows(rows, own).collect()] == ["2"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -34,41 +35,46 @@ def label_of(code: Column, labels: dict) -> Column:
     return F.coalesce(F.try_element_at(literal_map(labels), code), code)
 
 
-def attach_labels(df: DataFrame, **columns: str) -> DataFrame:
+# Providers are rows (code, model, label, note) in display order; every function that looks one
+# up takes another table of them.
+Providers = Sequence[tuple[str, str, str, str]]
+
+
+def attach_labels(df: DataFrame, providers: Providers = PROVIDERS, **columns: str) -> DataFrame:
     """Add ``<column>_label`` for each ``column='category'|'evidence'|'provider'``."""
     tables = {
         "category": CATEGORY_LABELS,
         "evidence": EVIDENCE_LABELS,
-        "provider": {code: label for code, _, label, _ in PROVIDERS},
+        "provider": {code: label for code, _, label, _ in providers},
     }
     return df.withColumns(
         {f"{name}_label": label_of(F.col(name), tables[kind]) for name, kind in columns.items()}
     )
 
 
-def provider_model(provider: Column) -> Column:
-    return F.try_element_at(literal_map({p[0]: p[1] for p in PROVIDERS}), provider)
+def provider_model(provider: Column, providers: Providers = PROVIDERS) -> Column:
+    return F.try_element_at(literal_map({p[0]: p[1] for p in providers}), provider)
 
 
-def provider_ordinal(provider: Column) -> Column:
+def provider_ordinal(provider: Column, providers: Providers = PROVIDERS) -> Column:
     """Position in the fixed display order; unknown providers come last."""
-    table = literal_map({p[0]: i for i, p in enumerate(PROVIDERS)})
-    return F.coalesce(F.try_element_at(table, provider), F.lit(len(PROVIDERS)))
+    table = literal_map({p[0]: i for i, p in enumerate(providers)})
+    return F.coalesce(F.try_element_at(table, provider), F.lit(len(providers)))
 
 
-def attach_provider(df: DataFrame) -> DataFrame:
+def attach_provider(df: DataFrame, providers: Providers = PROVIDERS) -> DataFrame:
     """Rows of known providers with model, label and display position."""
     return (
-        df.withColumn("model", provider_model(F.col("provider")))
+        df.withColumn("model", provider_model(F.col("provider"), providers))
         .where(F.col("model").isNotNull())
-        .transform(attach_labels, provider="provider")
-        .withColumn("provider_ordinal", provider_ordinal(F.col("provider")))
+        .transform(attach_labels, providers, provider="provider")
+        .withColumn("provider_ordinal", provider_ordinal(F.col("provider"), providers))
     )
 
 
-def unknown_provider_rows(df: DataFrame) -> DataFrame:
+def unknown_provider_rows(df: DataFrame, providers: Providers = PROVIDERS) -> DataFrame:
     """The rows ``attach_provider`` leaves out."""
-    return df.where(provider_model(F.col("provider")).isNull())
+    return df.where(provider_model(F.col("provider"), providers).isNull())
 
 
 def one_text_per_category(packs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import OUTPUT_BUDGET
+from ..constants import OUTPUT_BUDGET, PROVIDERS
 from ..functions.encoding import sha256, valid_payload
 from ..functions.prompts import (
     JSON_SCHEMAS,
@@ -28,7 +28,12 @@ from ..functions.prompts import (
 from ..functions.replies import field, parse_json, parse_status
 from ..operators.gates import request_status
 from ..operators.guards import guard_identification, guard_routing
-from ..operators.lookups import attach_category_pack, attach_core_pack, provider_model
+from ..operators.lookups import (
+    Providers,
+    attach_category_pack,
+    attach_core_pack,
+    provider_model,
+)
 from ..operators.reports import envelope
 from ..schemas import IDENTIFICATION, STORED_REPLY
 from ..session import path_exists
@@ -101,16 +106,21 @@ def answer_calls(calls: DataFrame, store: PayloadStore, factories: Mapping[str,
     return _written(replies, settled)
 
 
-def prepare_requests(requests: DataFrame, configured: Iterable[str]) -> DataFrame:
+def prepare_requests(requests: DataFrame, configured: Iterable[str],
+                     providers: Providers = PROVIDERS) -> DataFrame:
     """Payload check, provider lookup and the hash that stands for the payload."""
     image = F.coalesce(F.col("image"), F.lit(""))
     body_ok = F.col("body_ok") if "body_ok" in requests.columns else F.lit(True)
     return requests.withColumns(
         {
             "body_ok": F.coalesce(body_ok, F.lit(True)),
-            "model": provider_model(F.col("provider")),
+            "model": provider_model(F.col("provider"), providers),
             "payload_ok": valid_payload(image),
-            "provider_ready": F.coalesce(F.col("provider").isin(*configured), F.lit(False)),
+            "provider_ready": F.coalesce(
+                F.col("provider").isin(*configured)
+                & provider_model(F.col("provider"), providers).isNotNull(),
+                F.lit(False),
+            ),
             "image_hash": sha256(image),
         }
     )
@@ -125,11 +135,11 @@ def with_call(requests: DataFrame, stage: int, prompt: Column, budget: int | Non
 
 
 def build_model_requests(requests: DataFrame, stage: int, prompt: Column,
-                         budget: int | None = None) -> DataFrame:
+                         budget: int | None = None, providers: Providers = PROVIDERS) -> DataFrame:
     """One row per request with its body as JSON and its key, for an offline batch job."""
     prepared = requests.withColumns(
         {
-            "model": provider_model(F.col("provider")),
+            "model": provider_model(F.col("provider"), providers),
             "image_hash": sha256(F.coalesce(F.col("image"), F.lit(""))),
         }
     )
@@ -165,12 +175,13 @@ def _parsed(replied: DataFrame, guard: Callable[[Column], Column], prefix: str)
 def label_two_stage(requests: DataFrame, packs: DataFrame, core: DataFrame,
                     factories: Mapping[str, ClientFactory], work: str,
                     max_clients: int | None = None, templates: Mapping[int, str] = TEMPLATES,
-                    batch_calls: int = BATCH_CALLS) -> DataFrame:
+                    batch_calls: int = BATCH_CALLS, providers: Providers = PROVIDERS) -> DataFrame:
     """Label every request; one result row per request row.
 
     ``requests``: request_id (unique), image_id, provider, image, mime, ts.
     ``packs``: category, text.  ``core``: one row, text.  ``factories``:
-    provider -> client factory; a provider without one is not configured.
+    provider -> client factory; a provider without one, or not among ``providers`` (code,
+    model, label, note), is not configured.
     ``work``: folder for the reply tables and, in a folder per run, the tables
     between the steps; calls that succeeded in an earlier run over the same
     folder are not made again.
@@ -190,7 +201,8 @@ def label_two_stage(requests: DataFrame, packs: DataFrame, core: DataFrame,
         "payload_ok", "provider_ready",
     ]
     store = PayloadStore(
-        prepare_requests(requests, factories).select(*facts_columns, "image"), f"{run}/payloads", buckets
+        prepare_requests(requests, factories, providers).select(*facts_columns, "image"),
+        f"{run}/payloads", buckets,
     )
     facts = _written(store.rows().select("place", *facts_columns), f"{run}/requests")
     is_ready = F.col("body_ok") & F.col("payload_ok") & F.col("provider_ready")

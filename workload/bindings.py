@@ -7,7 +7,7 @@ Each binding has its SQL twin as a common table expression.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinlabel.constants import CATEGORIES, PROVIDER_CODES
@@ -64,15 +64,20 @@ REQUESTS_SQL = """
   FROM documents"""
 
 
-def as_requests(documents: DataFrame, ts=None) -> DataFrame:
+def as_provider() -> Column:
+    """The provider that a document is sent to, by its source."""
     number = F.substring("source", 4, 9).cast("int")
     providers = F.array(*[F.lit(p) for p in PROVIDER_CODES])
+    return F.when(F.col("source") == "src19", "other").otherwise(
+        F.element_at(providers, number % 3 + 1)
+    )
+
+
+def as_requests(documents: DataFrame) -> DataFrame:
     return documents.select(
         F.col("doc_id").cast("string").alias("request_id"),
         F.col("doc_id").cast("string").alias("image_id"),
-        F.when(F.col("source") == "src19", "other")
-        .otherwise(F.element_at(providers, number % 3 + 1))
-        .alias("provider"),
+        as_provider().alias("provider"),
         F.when(F.col("lang") == "de", F.col("text"))
         .otherwise(base64_line(F.encode("text", "UTF-8")))
         .alias("image"),

@@ -24,6 +24,7 @@ from .bindings import (
     PACKS_SQL,
     REQUESTS_SQL,
     STUB_RESULT_SQL,
+    as_provider,
     as_requests,
     core_text,
     packs,
@@ -63,11 +64,9 @@ def doc_category():
   WHERE r.provider <> 'other'""")
 def attach_packs(spark, sf_dir):
     """Provider, reference text, shared text and labels attached to every document."""
-    docs = table(spark, sf_dir, "documents").withColumn("category", doc_category())
-    provider = as_requests(docs).select(F.col("request_id").cast("long").alias("doc_id"), "provider")
+    docs = table(spark, sf_dir, "documents")
     return (
-        docs.select("doc_id", "category")
-        .join(provider, "doc_id")
+        docs.select("doc_id", as_provider().alias("provider"), doc_category().alias("category"))
         .transform(attach_provider)
         .transform(attach_category_pack, packs(spark, sf_dir))
         .transform(attach_core_pack, core_text(spark, sf_dir))

@@ -123,7 +123,7 @@ def _label_sql(column: str) -> str:
   SELECT doc_id, {_label_sql('routed')} AS routed_label, {_label_sql('final')} AS final_label,
          CASE provider WHEN 'gemini' THEN 'gemini-3.7-flash' WHEN 'openai' THEN 'gpt-5.6-sol'
               ELSE 'grok-4.6' END AS names_line,
-         CAST(n AS VARCHAR) AS spec_value, true AS no_uncertain_fields
+         CAST(n AS VARCHAR) AS spec_value, '可見' AS evidence_label, true AS no_uncertain_fields
   FROM ({STUB_RESULT_SQL}) WHERE status = 200""")
 def result_cards(spark, sf_dir):
     """The sections shown for every labelled document; empty lists are left out."""
@@ -137,6 +137,7 @@ def result_cards(spark, sf_dir):
         "final_label",
         "names_line",
         F.get("specifications", F.lit(0))["value"].alias("spec_value"),
+        F.get("specifications", F.lit(0))["evidence_label"].alias("evidence_label"),
         F.col("uncertain_fields").isNull().alias("no_uncertain_fields"),
     )
 
