@@ -70,6 +70,18 @@ def test_languages_of_odd_rows(docs, rows, no_docs):
     assert {r.lang_pred for r in language_id.languages(nothing).collect()} == {"und"}
 
 
+def test_a_text_in_four_languages_stays(spark):
+    draw = random.Random(4)
+    ends = {"aa": ["ing", "tion"], "bb": ["ung", "lich"], "cc": ["eaux", "oire"], "dd": ["cion", "ando"]}
+    make = lambda lang, n: " ".join(draw.choice("kmpt") + draw.choice(ends[lang]) for _ in range(n))
+    rows = [(i, make(lang, 30), lang) for i, lang in enumerate(list(ends) * 60)]
+    rows.append((1000, " ".join(make(lang, 40) for lang in ends), None))
+    made = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    score = {r.doc_id: r.score for r in language_id.languages(made).collect()}
+    assert score[1000] < 0.4
+    assert 1000 in {r.doc_id for r in language_id.in_some_language(made).collect()}
+
+
 @pytest.fixture(scope="module")
 def marked(spark):
     draw = random.Random(6)
