@@ -175,13 +175,19 @@ def session_states(spark, sf_dir):
          CASE WHEN status = 200 THEN 'labelled' ELSE 'rejected' END AS outcome
   FROM ({STUB_RESULT_SQL})""")
 def stream_label(spark, sf_dir):
-    """Requests labelled as they arrive; labelled and rejected rows in two sinks."""
+    """Requests labelled as they arrive, in three micro-batches; labelled and rejected rows in
+    two sinks."""
     work = scratch_dir(spark, "stream-label")
-    requests = as_requests(stream_table(spark, sf_dir, "documents"))
-    label_stream(
-        requests, packs(spark, sf_dir), core_text(spark, sf_dir), stub_clients(), work,
-        f"{work}/checkpoint",
-    ).awaitTermination()
+    documents = table(spark, sf_dir, "documents")
+
+    def run(folder):
+        arrived = spark.readStream.schema(documents.schema).parquet(folder)
+        label_stream(
+            as_requests(arrived), packs(spark, sf_dir), core_text(spark, sf_dir), stub_clients(),
+            work, f"{work}/checkpoint",
+        ).awaitTermination()
+
+    in_parts(spark, documents, 3, F.col("doc_id") % 3, run)
     return spark.read.parquet(f"{work}/out").select(
         F.col("request_id").cast("long").alias("doc_id"), "status", "error", "final_category",
         "outcome",
