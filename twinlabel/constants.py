@@ -62,7 +62,6 @@ MAX_EDGE_PX = 1800
 # --- limits -----------------------------------------------------------------
 MAX_PAYLOAD_CHARS = 7_000_000
 LOG_TEXT_CHARS = 12_000
-ERROR_BODY_CHARS = 1_600
 SHORT_HASH_CHARS = 12
 MAX_ATTEMPTS = 3
 OUTPUT_BUDGET = {1: 900, 2: 2400}

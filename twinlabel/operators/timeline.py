@@ -8,12 +8,16 @@ row per chunk.  Windows only ever run inside a chunk or over chunk summaries.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import PROVIDER_CODES
-from ..session import work_dir
+from ..session import scratch_dir
 
+# Events of a chunk at most, on average.
+CHUNK_EVENTS = 2_000_000
 EVENT_COLUMNS = ("session_id", "image_seq", "provider", "kind", "ts", "event_id", "result", "error")
 
 
@@ -24,8 +28,11 @@ def chunked(events: DataFrame, chunks: int | None = None) -> DataFrame:
     executor can then never mix two cuts.
     """
     spark = events.sparkSession
-    width = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = work_dir(spark, "timeline")
+    width = chunks or max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        math.ceil(events.count() / CHUNK_EVENTS),
+    )
+    path = scratch_dir(spark, "timeline")
     (
         events.select(*EVENT_COLUMNS)
         .repartitionByRange(width, "session_id", "ts", "event_id")
