@@ -312,3 +312,38 @@ def test_recall_of_fuzzy_passages(spark, rate, least):
     made = spark.createDataFrame(rows, "doc_id long, text string")
     got = {frozenset((r.doc_id, r.other_id)) for r in passages.shared_passages(made).collect()}
     assert got <= set(pairs) and len(got) >= least * len(pairs), (len(got), len(pairs))
+
+
+@pytest.mark.parametrize("others,size", [(2, 55), (10, 55), (40, 70)])
+def test_passage_whose_seeds_stand_in_other_documents(spark, others, size):
+    """Two documents share a passage; its first words stand in smaller and larger ids as well."""
+    draw = random.Random(others)
+    word = lambda: f"w{draw.randrange(10**6)}"
+    some = lambda n: [word() for _ in range(n)]
+    rows, pairs = [], set()
+    for k in range(20):
+        passage, at = some(size), 1000 * k
+        ids = random.Random(k).sample(range(1, 900), others + 2)
+        one, two = sorted(ids)[others // 2 : others // 2 + 2]
+        pairs.add((at + one, at + two))
+        for n in ids:
+            shared = passage if n in (one, two) else passage[: size - 10]
+            rows.append((at + n, " ".join(some(30) + shared + some(30))))
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.other_id) for r in passages.shared_passages(made).collect()}
+    assert pairs <= got if size == 55 else not pairs - linked(got)
+
+
+def linked(pairs):
+    """Pairs within the components of ``pairs``."""
+    near, out = {}, set()
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+    for start in near:
+        seen, todo = {start}, [start]
+        while todo:
+            for b in near[todo.pop()] - seen:
+                seen.add(b)
+                todo.append(b)
+        out |= {(start, b) for b in seen}
+    return out
