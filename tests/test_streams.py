@@ -154,3 +154,17 @@ def test_idle_sessions_are_forgotten(spark, tmp_path):
     # Those that wait, and those shown last.
     assert max(left) <= 2 * 9 * 3
     assert spark.read.parquet(str(tmp_path / "out")).count() == 36
+
+
+def test_keys_share_the_rows_of_the_state(spark, tmp_path):
+    rows = [(f"key-{n}", START + dt.timedelta(seconds=n % 60), n) for n in range(5000)]
+    left = []
+
+    def run(stream):
+        query = streams.drop_duplicate_requests(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+        query.awaitTermination()
+        left.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+
+    feed(spark, [rows], REQUEST, str(tmp_path / "in"), run)
+    assert max(left) <= 2 * 1024
+    assert spark.read.parquet(str(tmp_path / "out")).where("outcome = 'kept'").count() == 5000

@@ -6,12 +6,14 @@ but marked ``late``.  A batch step over what the stream has landed then gives th
 result for the keys that had late rows, see ``twinlabel.operators.repeats`` and
 ``twinlabel.operators.timeline``.
 
-Rows of a key in a micro-batch are ordered in memory, so only narrow columns come here, and the
-source's limits bound a micro-batch.
+Keys share ``BUCKETS`` groups by hash: a call and an exchange with the state store per group
+and micro-batch, not per key.  Rows of a group in a micro-batch are ordered in memory, so only
+narrow columns come here, and the source's limits bound a micro-batch.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -24,21 +26,35 @@ from ..constants import PROVIDER_CODES
 
 KEPT, DROPPED, LATE = "kept", "dropped", "late"
 _AT = "at_micros"  # rows come as named tuples, whose names may not start with "_"
+_NAME = "key_name"
+# Groups of keys; a checkpoint holds for one number only.
+BUCKETS = 1024
 
 
 def micros(interval: str) -> int:
     return pd.Timedelta(interval).value // 1000
 
 
-def _stateful(rows: DataFrame, keys: list[str], ts: str, late: str, processor, schema: str) -> DataFrame:
-    """``processor`` per key, in event time.  The time goes along as a number, so that the
-    engine leaves rows behind the watermark to the processor."""
+def _stateful(rows: DataFrame, keys: list[str], ts: str, late: str, processor, schema: str,
+              buckets: int) -> DataFrame:
+    """``processor`` per group of keys, in event time.  The time goes along as a number, so that
+    the engine leaves rows behind the watermark to the processor.  Keys with nulls are apart, as
+    whole numbers beside nulls would not stay whole in pandas."""
     at = F.unix_micros(F.col(ts).cast("timestamp"))
+    nulls = F.concat(*[F.col(k).isNull().cast("int").cast("string") for k in keys])
+    micro = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    name = F.to_json(
+        F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]),
+        {"timestampFormat": f"{micro}XXX", "timestampNTZFormat": micro},
+    )
     return (
         rows.withWatermark(ts, late)
-        .withColumn(_AT, at)
+        .withColumns({
+            _AT: at, _NAME: name, "key_nulls": nulls,
+            "key_bucket": F.pmod(F.xxhash64(*keys), F.lit(buckets)),
+        })
         .drop(ts)
-        .groupBy(*keys)
+        .groupBy("key_bucket", "key_nulls")
         .transformWithStateInPandas(processor, schema, "Append", "EventTime")
     )
 
@@ -52,9 +68,9 @@ def _watermark(timers) -> int:
 
 
 class KeepFirst(StatefulProcessor):
-    """Judges rows by the last kept time of their key, the only state.
+    """Judges rows by the last kept time of their key, the only state: one row per group.
 
-    The state goes once the watermark has passed the end of the bound: what follows on time is
+    A key's time goes once the watermark has passed the end of the bound: what follows on time is
     then kept whatever the state was.
     """
 
@@ -63,14 +79,27 @@ class KeepFirst(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at long")
+        self.last = handle.getValueState("last", "names array<string>, at array<long>")
+
+    def _known(self, bound: int) -> dict[str, int]:
+        """Last kept times that still matter."""
+        if not self.last.exists():
+            return {}
+        names, ats = self.last.get()
+        return {n: at for n, at in zip(names, ats) if at + self.within >= bound}
+
+    def _keep(self, known: dict[str, int]) -> None:
+        if known:
+            self.last.update((list(known), list(known.values())))
+        else:
+            self.last.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         part = pd.concat(list(rows)).sort_values([_AT, *self.order], kind="stable")
-        known = self.last.get() if self.last.exists() else None
-        first = last = known[0] if known else None
-        bound, outcomes = _watermark(timerValues), []
-        for at in part[_AT].tolist():
+        bound, outcomes, newest = _watermark(timerValues), [], None
+        known = self._known(bound)
+        for name, at in zip(part[_NAME].tolist(), part[_AT].tolist()):
+            last = known.get(name)
             if pd.isna(at):
                 outcomes.append(KEPT)
             elif at < bound or (last is not None and at < last):
@@ -78,19 +107,20 @@ class KeepFirst(StatefulProcessor):
             elif last is not None and at < last + self.within:
                 outcomes.append(DROPPED)
             else:
-                last = int(at)
+                known[name] = newest = int(at)
                 outcomes.append(KEPT)
-        if last != first:
-            self.last.update((last,))
-            self.handle.registerTimer((last + self.within) // 1000 + 1)
+        if newest is not None:
+            self._keep(known)
+            # Rows come in order of time, so the bounds of all others end before.
+            self.handle.registerTimer((newest + self.within) // 1000 + 1)
         part["outcome"] = outcomes
         part[_AT] = part[_AT].astype("Int64")
         yield part[[*self.keys, *self.order, _AT, "outcome"]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # A later request may have moved the end of the bound, with a timer of its own.
-        if self.last.exists() and self.last.get()[0] + self.within < _watermark(timerValues):
-            self.last.clear()
+        # Later requests may have moved the end of the bound, with a timer of their own.
+        if self.last.exists():
+            self._keep(self._known(_watermark(timerValues)))
         return iter(())
 
     def close(self) -> None:
@@ -99,7 +129,7 @@ class KeepFirst(StatefulProcessor):
 
 def judged_requests(requests: DataFrame, key: Iterable[str] = ("request_key",), ts: str = "ts",
                     order: Iterable[str] = ("request_id",), within: str = "10 minutes",
-                    late: str = "1 day") -> DataFrame:
+                    late: str = "1 day", buckets: int = BUCKETS) -> DataFrame:
     """Every request of a stream with an ``outcome``: ``kept``, ``dropped`` if it lies within
     ``within`` of its key's last kept one, or ``late`` if it is more than ``late`` behind the
     newest request of all, or behind the last kept one of its key.
@@ -110,7 +140,7 @@ def judged_requests(requests: DataFrame, key: Iterable[str] = ("request_key",),
     keys, order = list(key), list(order)
     rows = requests.select(*keys, *order, ts)
     schema = f"{_ddl(rows.schema, [*keys, *order])}, {_AT} long, outcome string"
-    judged = _stateful(rows, keys, ts, late, KeepFirst(keys, order, micros(within)), schema)
+    judged = _stateful(rows, keys, ts, late, KeepFirst(keys, order, micros(within)), schema, buckets)
     return judged.select(*keys, *order, F.timestamp_micros(_AT).alias(ts), "outcome")
 
 
@@ -118,88 +148,92 @@ class SessionState(StatefulProcessor):
     """What a session shows after each of its events, in the order of event time.
 
     Events wait in the state until the watermark has passed them.  A timer stands for the oldest
-    one that waits; with ``idle``, another one drops a session that long after its last event.
+    one of the group that waits; with ``idle``, another one for the session that is the first to
+    have been without events for so long.  What waits is stored a micro-batch at a time.
     """
 
-    def __init__(self, session: str, providers: tuple[str, ...], event: str, result: str, idle: int | None):
+    def __init__(self, session: str, providers: tuple[str, ...], idle: int | None):
         self.session, self.providers, self.idle = session, providers, idle
-        self.event, self.result = event, result
         self.shown = [f"{p}_{kind}" for p in providers for kind in ("result", "error")]
+        self.places = {p: 2 * i for i, p in enumerate(providers)}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        shown = ", ".join(
-            f"{p}_result {self.result}, {p}_error string" for p in self.providers
-        )
-        self.state = handle.getValueState("session", f"at long, image long, {shown}")
-        self.waiting = handle.getListState(
-            "waiting",
-            f"{_AT} long, event_id {self.event}, image_seq long, provider string, kind string, "
-            f"result {self.result}, error string",
-        )
-
-    def _frame(self, key, rows: list[tuple]) -> pd.DataFrame:
+        # Per session the time of its last event, its image and what is shown.
+        self.state = handle.getValueState("sessions", "sessions binary")
+        self.waiting = handle.getListState("waiting", "events binary")
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
         columns = [self.session, "event_id", "image", *self.shown, "outcome"]
-        frame = pd.DataFrame([(key[0], *r) for r in rows], columns=columns, dtype=object)
-        return frame
+        return pd.DataFrame(rows, columns=columns, dtype=object)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         bound, waits, late = _watermark(timerValues), [], []
         for part in rows:
+            part = part[
+                [_AT, self.session, "event_id", "image_seq", "provider", "kind", "result", "error"]
+            ]
             part = part.astype(object).where(part.notna(), None)
-            for row in part[
-                [_AT, "event_id", "image_seq", "provider", "kind", "result", "error"]
-            ].itertuples(index=False, name=None):
+            for row in part.itertuples(index=False, name=None):
                 if row[0] is None or row[0] < bound:
-                    late.append((row[1], None, *[None] * len(self.shown), LATE))
+                    late.append((row[1], row[2], None, *[None] * len(self.shown), LATE))
                 else:
                     waits.append(row)
         if waits:
-            self.waiting.appendList(waits)
-            self.handle.registerTimer(min(w[0] for w in waits) // 1000 + 1)
+            self.waiting.appendValue((pickle.dumps(waits),))
+            self.handle.registerTimer(int(min(w[0] for w in waits)) // 1000 + 1)
         if late:
-            yield self._frame(key, late)
+            yield self._frame(late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         bound = _watermark(timerValues)
-        waits = [tuple(w) for w in self.waiting.get()] if self.waiting.exists() else []
-        due = sorted((w for w in waits if w[0] < bound), key=lambda w: (w[0], w[1]))
+        chunks = [pickle.loads(c[0]) for c in self.waiting.get()] if self.waiting.exists() else []
+        waits = [w for chunk in chunks for w in chunk]
+        due = sorted((w for w in waits if w[0] < bound), key=lambda w: (w[0], w[2]))
         left = [w for w in waits if w[0] >= bound]
-        state = self.state.get() if self.state.exists() else None
-        at, image = (state[0], state[1]) if state else (None, None)
-        shown = list(state[2:]) if state else [None] * len(self.shown)
-        out = []
-        for at, event, image_seq, provider, kind, result, error in due:
+        sessions = pickle.loads(self.state.get()[0]) if self.state.exists() else {}
+        known, out, blank = len(sessions), [], [None] * len(self.shown)
+        for at, session, event, image_seq, provider, kind, result, error in due:
+            _, image, shown = sessions.get(session) or (None, None, blank)
             if image_seq is not None and (image is None or image_seq > image):
-                image, shown = image_seq, [None] * len(self.shown)
-            if image_seq is not None and image_seq == image and provider in self.providers:
-                place = 2 * self.providers.index(provider)
+                image, shown = image_seq, blank
+            place = self.places.get(provider)
+            if image_seq is not None and image_seq == image and place is not None:
                 if kind == "ok":
-                    shown[place] = result
+                    shown = [*shown[:place], result, *shown[place + 1 :]]
                 elif kind in ("start", "error"):
-                    shown[place + 1] = error if kind == "error" else None
-            out.append((event, image, *shown, KEPT))
+                    shown = [*shown[: place + 1], error if kind == "error" else None, *shown[place + 2 :]]
+            sessions[session] = at, image, shown
+            out.append((session, event, image, *shown, KEPT))
+        if self.idle is not None:
+            busy = {w[1] for w in due} | {w[1] for w in left}
+            gone = [s for s, (at, *_) in sessions.items() if at + self.idle < bound and s not in busy]
+            for session in gone:
+                del sessions[session]
+            ends = [at + self.idle for at, *_ in sessions.values()]
+            # One that is over already had an event just now: it goes at the next turn.
+            if ends:
+                self.handle.registerTimer(int(max(min(ends), bound)) // 1000 + 1)
         if due:
             if left:
-                self.waiting.put(left)
+                self.waiting.put([(pickle.dumps(left),)])
             else:
                 self.waiting.clear()
-            self.state.update((at, image, *shown))
-            if self.idle is not None:
-                self.handle.registerTimer((at + self.idle) // 1000 + 1)
-        elif state and self.idle is not None and at + self.idle < bound and not left:
+        if sessions and (due or len(sessions) != known):
+            self.state.update((pickle.dumps(sessions),))
+        elif known and not sessions:
             self.state.clear()
         if left:
-            self.handle.registerTimer(min(w[0] for w in left) // 1000 + 1)
+            self.handle.registerTimer(int(min(w[0] for w in left)) // 1000 + 1)
         if out:
-            yield self._frame(key, out)
+            yield self._frame(out)
 
     def close(self) -> None:
         pass
 
 
 def session_states(events: DataFrame, providers=PROVIDER_CODES, late: str = "1 hour",
-                   idle: str | None = None) -> DataFrame:
+                   idle: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """State of every session after each of its events, from a stream of events.
 
     Columns are session_id, event_id, image, per provider ``<p>_result`` and ``<p>_error``, and
@@ -214,11 +248,10 @@ def session_states(events: DataFrame, providers=PROVIDER_CODES, late: str = "1 h
         f"{shown}, outcome string"
     )
     processor = SessionState(
-        "session_id", tuple(providers), types["event_id"], types["result"],
-        None if idle is None else micros(idle),
+        "session_id", tuple(providers), None if idle is None else micros(idle)
     )
     rows = events.select(
         "session_id", "event_id", F.col("image_seq").cast("long").alias("image_seq"), "provider",
         "kind", "ts", "result", "error",
     )
-    return _stateful(rows, ["session_id"], "ts", late, processor, schema)
+    return _stateful(rows, ["session_id"], "ts", late, processor, schema, buckets)
