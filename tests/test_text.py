@@ -190,3 +190,15 @@ def test_filters_and_og(evaluate):
     og = ['<meta property="og:image" content="a">', "<META content='b' property='og:image'>", "<p>",
           '<meta content="n" property="og:image"><meta property="og:image" content="m">']
     assert evaluate(og, "x string", T.og_image(X)) == ["a", "b", None, "m"]
+
+
+def test_batches_of_pages_are_small(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    @F.arrow_udf("long")
+    def size(pages: pa.Array) -> pa.Array:
+        return pa.array([pages.nbytes] * len(pages), pa.int64())
+
+    pages = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("&amp;"), 20_000).alias("page"))
+    assert pages.select(F.max(size("page"))).first()[0] < 20 << 20

@@ -11,6 +11,7 @@ import html
 from urllib.parse import urljoin
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -43,9 +44,23 @@ _PLAIN_LINK = rf"\A(?:/(?!/)[{_PLAIN_CHARS}/]*+|{_ORIGIN}(?:/[{_PLAIN_CHARS}/]*+
 _DOT_SEGMENT = r"/\.{1,2}(?:[/?#]|\z)"
 
 
-@F.pandas_udf(StringType())
-def _unescape_udf(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape, na_action="ignore")
+# Characters of pages that are Python texts at a time.
+_UNESCAPE_BYTES = 1 << 22
+
+
+@F.arrow_udf(StringType())
+def _unescape_udf(texts: pa.Array) -> pa.Array:
+    """Page by page: beside the batch only a few are held as Python texts."""
+    parts, held, size = [], [], 0
+    for text in texts:
+        page = text.as_py()
+        held.append(None if page is None else html.unescape(page))
+        size += len(page or "")
+        if size > _UNESCAPE_BYTES:
+            parts.append(pa.array(held, pa.string()))
+            held, size = [], 0
+    parts.append(pa.array(held, pa.string()))
+    return pa.concat_arrays(parts)
 
 
 def html_unescape(text: Column) -> Column:
