@@ -119,3 +119,9 @@ def test_preflight_of_files(spark, tmp_path):
     assert (ok.original_format, ok.width, ok.height, ok.mime) == ("PNG", 200, 200, "image/png")
     assert ok.original_bytes == len(good) and ok.api_sha256 == ok.original_sha256
     assert ok.content_type == "image/png" and not ok.converted_for_api
+
+
+def test_tiny_files_share_tasks(spark, tmp_path):
+    for n in range(400):
+        (tmp_path / f"{n}.img").write_bytes(b"x")
+    assert read_image_files(spark, str(tmp_path)).rdd.getNumPartitions() <= 6

@@ -197,9 +197,14 @@ def write_files(files: DataFrame, folder: str) -> None:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Hadoop leaves out the empty host of a local path.
         target, base = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", folder))
+        made = set()
         for batch in batches:
             for name, content in zip(batch.column("name"), batch.column("content")):
-                with target.open_output_stream(f"{base}/{name.as_py()}") as out:
+                path = f"{base}/{name.as_py()}"
+                if (parent := path.rpartition("/")[0]) not in made:
+                    target.create_dir(parent, recursive=True)
+                    made.add(parent)
+                with target.open_output_stream(path) as out:
                     out.write(content.as_py())
             yield batch.select(["name"])
 
@@ -231,7 +236,8 @@ def _bytes_of(number, size, little=False):
           'image/jpeg'][k + 1] AS mime
   FROM s""")
 def image_preflight(spark, sf_dir):
-    """A tiny image file per document, in five formats, cut off or without a byte."""
+    """A tiny image file per document, in five formats, cut off or without a byte; in 256 folders,
+    which tasks list side by side."""
     folder = qualified(spark, f"{scratch_dir(spark, 'images')}/files")
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", (100 + F.col("n_chars") % 700).alias("w"), (150 + F.col("doc_id") % 400).alias("h")
@@ -253,7 +259,8 @@ def image_preflight(spark, sf_dir):
         F.when(kind == 0, F.concat(png, F.lit(PNG_END))).when(kind == 1, jpeg).when(kind == 2, gif)
         .when(kind == 3, bmp).when(kind == 4, webp).when(kind == 5, png).otherwise("")
     )
-    name = F.concat(F.col("doc_id").cast("string"), F.lit(".img"))
+    part = F.pmod(F.col("doc_id"), F.lit(256)).cast("string")
+    name = F.concat(part, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".img"))
     write_files(docs.select(name.alias("name"), F.unhex(content).alias("content")), folder)
     manifest = docs.select(
         "doc_id",
