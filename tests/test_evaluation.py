@@ -332,3 +332,13 @@ def test_large_datasets_are_cut_into_ranges(spark, tmp_path, size):
     finally:
         for key in ("maxPartitionBytes", "openCostInBytes"):
             spark.conf.unset(f"spark.sql.files.{key}")
+
+
+def test_large_datasets_are_parsed_once(spark, tmp_path):
+    from twinlabel.sources.readers import read_large_dataset as read
+
+    (tmp_path / "a.json").write_text('{"version": "v", "cases": [{"id": "1"}, {"id": "2"}]}')
+    header, cases = read(spark, str(tmp_path))
+    assert [r.id for r in cases.orderBy("pos").collect()] == ["1", "2"]
+    for df in (header, cases):
+        assert "from_json" not in df._jdf.queryExecution().optimizedPlan().toString()

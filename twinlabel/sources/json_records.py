@@ -101,6 +101,9 @@ def read_json_records(spark: SparkSession, paths: list[str] | str, schema: str,
     )
     end = F.when(F.col("_record") == 1, "}]}").when(F.col("_depth") == 0, "}").otherwise("")
     whole = F.concat(opened, end)
-    return groups.select("file", "pos", "_record", F.from_json(whole, schema).alias("doc")).where(
+    rows = groups.select("file", "pos", "_record", F.from_json(whole, schema).alias("doc")).where(
         "_record = 1 OR doc IS NOT NULL OR pos = 0"
     ).drop("_record")
+    # Parsed once, however often the rows are read; a reader of few fields reads only those.
+    rows.write.parquet(f"{path}-rows")
+    return spark.read.schema(rows.schema).parquet(f"{path}-rows")
