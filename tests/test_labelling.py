@@ -155,6 +155,17 @@ def test_two_stages(spark, packs, core, tmp_path):
     assert spark.read.parquet(log).count() == 6
 
 
+def test_a_filter_on_results_parses_no_reply_again(spark, packs, core, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    done = label_two_stage(
+        requests(spark, ROWS), packs, core, factory(str(calls)), str(tmp_path / "work")
+    ).where("status = 200")
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("parseJson(") <= 3
+    assert sorted(r.request_id for r in done.collect()) == ["1", "2", "3"]
+
+
 def test_log_text_is_cut(spark, tmp_path):
     big = spark.range(1).select(F.repeat(F.lit("x"), LOG_TEXT_CHARS + 1).alias("payload"))
     append_result_log(big, str(tmp_path / "log"))

@@ -34,6 +34,7 @@ from ..operators.lookups import (
     attach_core_pack,
     provider_model,
 )
+from ..operators.nested import pin
 from ..operators.reports import envelope
 from ..schemas import IDENTIFICATION, STORED_REPLY
 from ..session import path_exists
@@ -151,24 +152,27 @@ def build_model_requests(requests: DataFrame, stage: int, prompt: Column,
 
 
 def _parsed(replied: DataFrame, guard: Callable[[Column], Column], prefix: str) -> DataFrame:
-    """Parse the reply and say why it is not usable, if it is not."""
+    """Parse the reply and say why it is not usable, if it is not.
+
+    Value and status are pinned: a filter on what follows from them would parse the text anew
+    for each of its terms.
+    """
     status = (
         F.when(F.col("reply_text").isNull() & F.col("error").isNotNull(), F.lit("call_failed"))
-        .otherwise(parse_status(F.col("reply_text"), F.col("_value")))
+        .otherwise(parse_status(F.col("reply_text"), F.col(f"{prefix}_value")))
+    )
+    usable = (
+        F.when(F.col("_parse") != "ok", F.col("_parse"))
+        .when(~guard(F.col(f"{prefix}_value")), F.lit("incomplete_reply"))
+        .otherwise(F.lit("ok"))
     )
     return (
-        replied.withColumn("_value", parse_json(F.col("reply_text")))
-        .withColumn("_parse", status)
-        .withColumn(
-            f"{prefix}_status",
-            F.when(F.col("_parse") != "ok", F.col("_parse"))
-            .when(~guard(F.col("_value")), F.lit("incomplete_reply"))
-            .otherwise(F.lit("ok")),
-        )
-        .withColumn(f"{prefix}_value", F.col("_value"))
+        replied.transform(pin, **{f"{prefix}_value": parse_json(F.col("reply_text"))})
+        .transform(pin, _parse=status)
+        .transform(pin, **{f"{prefix}_status": usable})
         .withColumn(f"{prefix}_error", F.when(F.col(f"{prefix}_status") == "call_failed",
                                               F.col("error")))
-        .drop("_value", "_parse", "reply_text", "error")
+        .drop("_parse", "reply_text", "error")
     )
 
 
