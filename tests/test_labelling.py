@@ -385,6 +385,50 @@ def test_an_attempt_goes_on_where_the_last_one_stopped(spark, tmp_path, monkeypa
     assert len(got) == 10 and got["k3"] == (None, "ValueError: odd") and got["k9"] == ("k9", None)
 
 
+def test_an_attempt_looks_at_its_own_files_only(tmp_path):
+    names = [f"job-000001-{n:06d}" for n in range(3)] + [f"job-000002-{n:06d}" for n in range(40)]
+    for name in names:
+        (tmp_path / f"{name}.parquet").touch()
+    asked = []
+
+    class Store:
+        def get_file_info(self, paths):
+            asked.extend(paths)
+            return reply_log.fs.LocalFileSystem().get_file_info(paths)
+
+    got = reply_log.committed(Store(), str(tmp_path), "job-000001-")
+    assert got == [str(tmp_path / f"{name}.parquet") for name in names[:3]]
+    assert len(asked) == 4 and reply_log.committed(Store(), str(tmp_path / "none"), "job-000001-") == []
+
+
+def test_replies_are_handed_on_without_the_log(spark, tmp_path, monkeypatch):
+    """What a job asked, an earlier attempt's part included, is a table with a file per task."""
+    fixed = type("Id", (), {"hex": "job"})
+    monkeypatch.setattr(reply_log.uuid, "uuid4", lambda: fixed)
+    rows = [(f"k{i}", "p", "m", "q", "i", "j") for i in range(10)]
+    calls = spark.createDataFrame(rows, "call_key string, provider string, model string, "
+                                        "prompt string, image string, mime string").coalesce(1)
+
+    def client():
+        def answer(request):
+            if request["call_key"] == "k3":
+                raise ValueError("odd")
+            return request["call_key"]
+
+        return answer
+
+    path = str(tmp_path / "replies")
+    reply_log.append_replies(calls.where("call_key < 'k6'"), {"p": client}, {}, path, 2)
+    table = reply_log.append_replies(calls, {"p": client}, {}, path, 2, str(tmp_path / "answered"))
+    got = sorted(map(tuple, table.collect()), key=str)
+    assert got == sorted(map(tuple, spark.read.parquet(path).select(*table.columns).collect()), key=str)
+    assert len(got) == 10 and ("k3", "p", None, "ValueError: odd") in got
+    assert len(table.inputFiles()) == 1 and len(spark.read.parquet(path).inputFiles()) == 5
+    none = reply_log.append_replies(calls.where("false"), {"p": client}, {}, str(tmp_path / "no"), 2,
+                                    str(tmp_path / "none"))
+    assert none.count() == 0
+
+
 def test_what_is_asked_for_is_part_of_the_key(spark):
     rows = requests(spark, [("1", "gemini", "QUJD")])
     keys = [

@@ -18,9 +18,17 @@ def parse_json(text: Column) -> Column:
     follows.  So the text is parsed as the first of two list items, the second
     being its hash: the hash is reached only if nothing else follows.
     """
-    mark = F.md5(text)
-    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
-    whole = (field(pair, "$[1]", "string") == mark) & field(pair, "$[2]").isNull()
+    return whole_json(json_pair(text), text)
+
+
+def json_pair(text: Column) -> Column:
+    """VARIANT of a list: the text's first JSON value, then the text's hash if nothing else follows."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), F.md5(text), F.lit('"]')))
+
+
+def whole_json(pair: Column, text: Column) -> Column:
+    """The value in a pair of :func:`json_pair`, null unless it is all there is in the text."""
+    whole = (field(pair, "$[1]", "string") == F.md5(text)) & field(pair, "$[2]").isNull()
     return F.when(whole, field(pair, "$[0]"))
 
 

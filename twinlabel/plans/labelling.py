@@ -25,7 +25,7 @@ from ..functions.prompts import (
     request_body,
     result_payload,
 )
-from ..functions.replies import field, parse_json, parse_status
+from ..functions.replies import field, json_pair, parse_status, whole_json
 from ..operators.gates import request_status
 from ..operators.guards import guard_identification, guard_routing
 from ..operators.lookups import (
@@ -67,13 +67,10 @@ def _written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def read_stored_replies(spark: SparkSession, path: str) -> DataFrame:
+def settled_replies(stored: DataFrame) -> DataFrame:
     """Stored replies, one per key: a success is preferred to a failure."""
-    return (
-        spark.read.schema(STORED_REPLY)
-        .parquet(path)
-        .groupBy("call_key")
-        .agg(F.max("reply_text").alias("reply_text"), F.max("error").alias("error"))
+    return stored.groupBy("call_key").agg(
+        F.max("reply_text").alias("reply_text"), F.max("error").alias("error")
     )
 
 
@@ -87,8 +84,11 @@ def answer_calls(calls: DataFrame, store: PayloadStore, factories: Mapping[str,
     """
     spark = calls.sparkSession
     pending = calls.select("call_key", "place")
+    # The files of runs before this one; what this run adds comes from its own tasks.
+    earlier = None
     if path_exists(spark, path):
-        done = spark.read.schema(STORED_REPLY).parquet(path).where("reply_text is not null")
+        earlier = spark.read.schema(STORED_REPLY).parquet(path)
+        done = earlier.where("reply_text is not null")
         pending = pending.join(done.select("call_key"), "call_key", "left_anti")
     chosen = pending.groupBy("call_key").agg(F.min("place").alias("place"))
     narrow = calls.join(chosen, ["call_key", "place"], "left_semi")
@@ -98,10 +98,8 @@ def answer_calls(calls: DataFrame, store: PayloadStore, factories: Mapping[str,
         "schema": JSON_SCHEMAS[stage],
         "max_output_tokens": OUTPUT_BUDGET[stage],
     }
-    append_replies(to_send, factories, fixed, path, batch_calls)
-    replies = read_stored_replies(spark, path) if path_exists(spark, path) else (
-        spark.createDataFrame([], "call_key string, reply_text string, error string")
-    )
+    stored = append_replies(to_send, factories, fixed, path, batch_calls, f"{settled}-answered")
+    replies = settled_replies(stored if earlier is None else stored.unionByName(earlier))
     # As a table of its own the replies are shuffled by their reader's join, which
     # is what lets AQE split a key shared by very many requests.
     return _written(replies, settled)
@@ -154,9 +152,10 @@ def build_model_requests(requests: DataFrame, stage: int, prompt: Column,
 def _parsed(replied: DataFrame, guard: Callable[[Column], Column], prefix: str) -> DataFrame:
     """Parse the reply and say why it is not usable, if it is not.
 
-    Value and status are pinned: a filter on what follows from them would parse the text anew
-    for each of its terms.
+    What is parsed and what is judged of it are pinned: a filter on what follows from them would
+    parse the text anew for each of its terms.
     """
+    value = whole_json(F.col("_pair"), F.col("reply_text"))
     status = (
         F.when(F.col("reply_text").isNull() & F.col("error").isNotNull(), F.lit("call_failed"))
         .otherwise(parse_status(F.col("reply_text"), F.col(f"{prefix}_value")))
@@ -167,12 +166,13 @@ def _parsed(replied: DataFrame, guard: Callable[[Column], Column], prefix: str)
         .otherwise(F.lit("ok"))
     )
     return (
-        replied.transform(pin, **{f"{prefix}_value": parse_json(F.col("reply_text"))})
+        replied.transform(pin, _pair=json_pair(F.col("reply_text")))
+        .transform(pin, **{f"{prefix}_value": value})
         .transform(pin, _parse=status)
         .transform(pin, **{f"{prefix}_status": usable})
         .withColumn(f"{prefix}_error", F.when(F.col(f"{prefix}_status") == "call_failed",
                                               F.col("error")))
-        .drop("_parse", "reply_text", "error")
+        .drop("_pair", "_parse", "reply_text", "error")
     )
 
 

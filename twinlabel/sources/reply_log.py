@@ -85,26 +85,45 @@ def opened(spark, path: str) -> str | None:
     return uri
 
 
+def committed(store: fs.FileSystem, base: str, task: str) -> list[str]:
+    """The files of earlier attempts of a task.  Their numbers have no gap, so the task asks for
+    one after the other and does not list the files of all tasks."""
+    found: list[str] = []
+    while True:
+        path = f"{base}/{task}{len(found):06d}.parquet"
+        if store.get_file_info([path])[0].type == fs.FileType.NotFound:
+            return found
+        found.append(path)
+
+
 def append_replies(calls: DataFrame, factories: Mapping[str, Callable], fixed: dict, path: str,
-                   batch_calls: int = BATCH_CALLS) -> None:
-    """Ask for every row of ``calls`` and append the replies to the table at ``path``."""
+                   batch_calls: int = BATCH_CALLS, answered: str | None = None) -> DataFrame | None:
+    """Ask for every row of ``calls`` and append the replies to the table at ``path``.
+
+    With a folder ``answered`` the same replies are written there as well, a file per task, and
+    returned: who goes on with them need not open the many small files of the log.
+    """
     uri = opened(calls.sparkSession, path)
     factories = dict(factories)
     if uri is None:
         _append_by_task(calls, factories, fixed, path)
-        return
+        return calls.sparkSession.read.schema(STORED_REPLY).parquet(path) if answered else None
     job = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         store, base = fs.FileSystem.from_uri(uri)
         store.create_dir(base, recursive=True)
         mine = f"{job}-{TaskContext.get().partitionId():06d}-"
-        found = store.get_file_info(fs.FileSelector(base, allow_not_found=True))
-        files = [f.path for f in found if f.base_name.startswith(mine)]
-        done = {key for f in files for key in pq.read_table(f, filesystem=store)["call_key"].to_pylist()}
+        files = committed(store, base, mine)
+        done: set[str] = set()
+        for file in files:
+            before = pq.read_table(file, filesystem=store, schema=_SCHEMA)
+            done.update(before["call_key"].to_pylist())
+            yield pd.DataFrame(before.to_pydict(), dtype=object)
         answerer, number = Answerer(factories, fixed), len(files)
         for batch in batches:
             waiting = [r for r in batch.to_dict("records") if r["call_key"] not in done]
+            replies: list[tuple] = []
             for at in range(0, len(waiting), batch_calls):
                 rows = answerer.answers(waiting[at : at + batch_calls])
                 table = pa.Table.from_arrays(
@@ -114,9 +133,15 @@ def append_replies(calls: DataFrame, factories: Mapping[str, Callable], fixed: d
                 pq.write_table(table, f"{base}/.{name}", filesystem=store)
                 store.move(f"{base}/.{name}", f"{base}/{name}")
                 number += 1
-                yield pd.DataFrame({"calls": [len(rows)]})
+                replies += rows
+            yield pd.DataFrame(replies, columns=_SCHEMA.names, dtype=object)
 
-    calls.mapInPandas(run, "calls long").write.format("noop").mode("overwrite").save()
+    made = calls.mapInPandas(run, STORED_REPLY)
+    if answered is None:
+        made.write.format("noop").mode("overwrite").save()
+        return None
+    made.write.parquet(answered)
+    return calls.sparkSession.read.schema(STORED_REPLY).parquet(answered)
 
 
 def _append_by_task(calls: DataFrame, factories: dict, fixed: dict, path: str) -> None:
