@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from twinlabel import functions as T
 from twinlabel.plans.images import image_preflight
 from twinlabel.sources.readers import read_image_files
+from twinlabel.sources.small_files import read_files
 
 
 def png(width, height):
@@ -125,3 +126,32 @@ def test_tiny_files_share_tasks(spark, tmp_path):
     for n in range(400):
         (tmp_path / f"{n}.img").write_bytes(b"x")
     assert read_image_files(spark, str(tmp_path)).rdd.getNumPartitions() <= 6
+
+
+def test_files_are_those_of_sparks_reader(spark, tmp_path):
+    names = ["a.img", "b c%20+é#.img", "\u3000ª²\u00a0\u2028\U0001f600~;@&$,!'()[]{}^|`\"<>?\\.img", "x/y/z/deep.img", "x/=1.img", "p=1/_k=2.img"]
+    left_out = ["_hidden/a.img", "x/.part.img", "x/_b.img", "a._COPYING_", "x/none.img"]
+    for name in [*names, *left_out]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if name == "x/none.img" else name.encode())
+    (tmp_path / "empty" / "folder").mkdir(parents=True)
+
+    def facts(frame):
+        return sorted((r.path, r.length, bytes(r.content)) for r in frame.collect())
+
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    want = whole.load(str(tmp_path)).select(F.col("_metadata.file_path").alias("path"), "length", "content")
+    assert [c for *_, c in facts(want)] and {c.decode() for *_, c in facts(want)} == set(names)
+    assert facts(read_files(spark, str(tmp_path))) == facts(want)
+    assert facts(read_files(spark, f"{tmp_path}/x/y/*")) == facts(read_files(spark, f"{tmp_path}/x/y/z"))
+    assert facts(read_files(spark, f"{tmp_path}/a.img")) == facts(want.where("path LIKE '%/a.img'"))
+    assert not facts(read_files(spark, f"{tmp_path}/empty"))
+    assert facts(read_files(spark, f"{tmp_path}/")) == facts(want)
+    # The driver keeps no list of the files.
+    assert not any(f.endswith(".img") for f in read_image_files(spark, str(tmp_path)).inputFiles())
+
+
+def test_a_header_is_read_once(spark, tmp_path, capsys):
+    (tmp_path / "a.png").write_bytes(png(300, 200))
+    read_image_files(spark, str(tmp_path)).explain()
+    assert capsys.readouterr().out.count("crc32(") == 1

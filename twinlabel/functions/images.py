@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
 from pyspark.sql import Column
@@ -19,9 +20,17 @@ def target_size(width: Column, height: Column, edge: int = MAX_EDGE_PX) -> Colum
     )
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def file_format(content: Column) -> Column:
     """Format by the leading bytes; null when none is known."""
-    head = F.hex(F.substring(content, 1, 12))
+    return _once(F.hex(F.substring(content, 1, 12)), _format)
+
+
+def _format(head: Column) -> Column:
     return (
         F.when(head.startswith("FFD8FF"), "JPEG")
         .when(head.startswith("89504E470D0A1A0A"), "PNG")
@@ -36,16 +45,12 @@ def file_format(content: Column) -> Column:
 def _number(content: Column, at: Column | int, size: int, little: bool = False) -> Column:
     """Unsigned number of ``size`` bytes from the 0-based place ``at``; null past the end."""
     start = F.lit(at) if isinstance(at, int) else at
-    parts = []
-    for i in range(size):
-        byte = F.substring(content, start + i + 1, F.lit(1))
-        weight = 256 ** (i if little else size - 1 - i)
-        value = F.when(F.length(byte) == 1, F.conv(F.hex(byte), 16, 10).cast("long"))
-        parts.append(value * weight)
-    total = parts[0]
-    for part in parts[1:]:
-        total = total + part
-    return total
+    code = F.hex(F.substring(content, start + 1, F.lit(size)))
+    if little:
+        whole = F.concat(*[F.substring(code, 2 * i + 1, 2) for i in reversed(range(size))])
+    else:
+        whole = code
+    return F.when(F.length(code) == 2 * size, F.conv(whole, 16, 10).cast("long"))
 
 
 def _edges(width: Column, height: Column) -> Column:
@@ -69,23 +74,24 @@ def _jpeg_walk(content: Column, steps: Column) -> Column:
 
     def step(state: Column, _: Column) -> Column:
         at = state["at"]
-        marker = _number(content, at + 1, 1)
-        hop = F.when(marker == JPEG_FILL, 1).when(marker.isin(*JPEG_ALONE), 2).otherwise(
-            2 + _number(content, at + 2, 2)
-        )
-        over = (_number(content, at, 1) != 0xFF) | marker.isin(JPEG_SCAN, JPEG_END)
-        found = F.struct(
-            F.lit(None).cast("int").alias("at"),
-            _number(content, at + 7, 2).cast("int").alias("width"),
-            _number(content, at + 5, 2).cast("int").alias("height"),
-        )
         none = F.lit(None).cast("int")
-        onward = F.struct(
-            F.when(~over, at + hop.cast("int")).alias("at"), none.alias("width"), none.alias("height")
-        )
-        return F.when(at.isNull(), state).when(marker.isin(*JPEG_FRAMES), found).otherwise(
-            onward
-        ).cast(kind)
+
+        def follow(marker: Column) -> Column:
+            hop = F.when(marker == JPEG_FILL, 1).when(marker.isin(*JPEG_ALONE), 2).otherwise(
+                2 + _number(content, at + 2, 2)
+            )
+            over = (_number(content, at, 1) != 0xFF) | marker.isin(JPEG_SCAN, JPEG_END)
+            found = F.struct(
+                none.alias("at"),
+                _number(content, at + 7, 2).cast("int").alias("width"),
+                _number(content, at + 5, 2).cast("int").alias("height"),
+            )
+            onward = F.struct(
+                F.when(~over, at + hop.cast("int")).alias("at"), none.alias("width"), none.alias("height")
+            )
+            return F.when(marker.isin(*JPEG_FRAMES), found).otherwise(onward).cast(kind)
+
+        return F.when(at.isNull(), state).otherwise(_once(_number(content, at + 1, 1), follow))
 
     start = F.struct(
         F.lit(2).alias("at"), F.lit(None).cast("int").alias("width"),
@@ -95,11 +101,12 @@ def _jpeg_walk(content: Column, steps: Column) -> Column:
 
 
 def _jpeg_size(content: Column) -> Column:
-    first = _jpeg_walk(content, F.lit(_SEGMENTS))
     # A segment has four bytes at least.
     whole = _jpeg_walk(content, F.greatest(F.lit(1), (F.length(content) / 4).cast("int")))
-    walked = F.when(first["at"].isNull(), first).otherwise(whole)
-    return _edges(walked["width"], walked["height"])
+    walked = _once(
+        _jpeg_walk(content, F.lit(_SEGMENTS)), lambda first: F.when(first["at"].isNull(), first).otherwise(whole)
+    )
+    return _once(walked, lambda state: _edges(state["width"], state["height"]))
 
 
 def image_size(content: Column) -> Column:
@@ -108,7 +115,6 @@ def image_size(content: Column) -> Column:
     Null edges where there is no such header, and for a PNG whose header fails its check sum or
     that ends before its last chunk.
     """
-    fmt = file_format(content)
     header = F.substring(content, F.lit(13), F.lit(17))
     whole = (F.crc32(header) == _number(content, 29, 4)) & F.contains(
         content, F.unhex(F.lit(PNG_END))
@@ -125,14 +131,15 @@ def image_size(content: Column) -> Column:
         .when(chunk == "5650384C", _edges(packed % 2**14 + 1, F.floor(packed / 2**14) % 2**14 + 1))
         .when(chunk == "56503820", _edges(_number(content, 26, 2, True) % 2**14, _number(content, 28, 2, True) % 2**14))
     )
-    size = (
-        F.when(fmt == "PNG", png)
+    size = _once(
+        file_format(content),
+        lambda fmt: F.when(fmt == "PNG", png)
         .when(fmt == "JPEG", _jpeg_size(content))
         .when(fmt == "GIF", gif)
         .when(fmt == "BMP", bmp)
-        .when(fmt == "WEBP", webp)
+        .when(fmt == "WEBP", webp),
     )
-    return F.when((size["width"] > 0) & (size["height"] > 0), size)
+    return F.get(F.filter(F.array(size), lambda s: (s["width"] > 0) & (s["height"] > 0)), F.lit(0))
 
 
 def mime_of(image_format: Column) -> Column:

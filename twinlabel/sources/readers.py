@@ -11,6 +11,7 @@ from ..functions.images import file_format, image_size
 from ..operators.joins import hot_key_join
 from ..schemas import DATASET, LABEL_REQUEST, MODEL_REPLY, PAGE
 from .json_records import read_json_records
+from .small_files import read_files
 
 
 def read_eval_dataset(spark: SparkSession, *paths: str) -> DataFrame:
@@ -115,11 +116,9 @@ def read_image_files(spark: SparkSession, folder: str) -> DataFrame:
     """
     content = F.col("content")
     return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(folder)
+        read_files(spark, folder)
         .select(
-            F.col("_metadata.file_path").alias("path"),
+            "path",
             "length",
             byte_length(content).cast("long").alias("original_bytes"),
             sha256(content).alias("original_sha256"),
