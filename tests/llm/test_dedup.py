@@ -9,6 +9,7 @@ import pytest
 import xxhash
 
 from twinlabel.llm import near_copies, passages, repeat_removal
+from twinlabel.llm.chaining import Contexts
 from twinlabel.llm.chaining import align, chains, seeds
 from twinlabel.llm.components import components
 from twinlabel.llm.exact_dedup import exact_duplicates, without_exact_duplicates
@@ -347,3 +348,50 @@ def linked(pairs):
                 todo.append(b)
         out |= {(start, b) for b in seen}
     return out
+
+
+@pytest.mark.parametrize("sort", ["equal", "changed", "later"])
+def test_passage_whose_every_seed_many_documents_hold(spark, sort):
+    """Two documents share a passage, equal or with words changed, of whose pieces 20 others hold
+    one each; or in one of them the pieces stand for themselves before it."""
+    draw = random.Random(11)
+    some = lambda n: [f"w{draw.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for k in range(6):
+        pieces, at = [some(14) for _ in range(4)], 1000 * k
+        if sort == "equal":
+            passage = [w for p in pieces for w in p]
+            bodies = [passage, passage]
+            others = [passage[:40]] * 20 + [passage[-40:]] * 20
+        else:
+            bodies = [[w for p in pieces for w in p + some(1)] for _ in range(2)]
+            others = [p for p in pieces for _ in range(20)]
+        if sort == "later":
+            bodies[0] = [w for p in pieces for w in p + some(70)] + bodies[0]
+        rows += [(at + 500 + n, some(30) + b + some(30)) for n, b in enumerate(bodies)]
+        rows += [(at + n + 900 * (n % 2), some(30) + o + some(30)) for n, o in enumerate(others)]
+    made = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {(r.doc_id, r.other_id) for r in passages.shared_passages(made).collect()}
+    assert {(1000 * k + 500, 1000 * k + 501) for k in range(6)} <= got
+
+
+def test_close_contexts_equal_a_comparison_of_all():
+    draw = np.random.default_rng(5)
+    base = draw.integers(1, 2**31, (3, 128), dtype=np.uint32)
+    rows = base[draw.integers(0, 3, 120)].copy()
+    for row in rows:
+        row[: draw.integers(0, 70)] = draw.integers(1, 2**31)
+        many = draw.random(128) < draw.choice([0, 0.1, 0.2, 0.3])
+        row[many] = draw.integers(1, 2**31, many.sum())
+    found = Contexts(np.unique(rows, axis=0))
+    for few in (2, 16):
+        one, two, classes = found.pairs(few, 50)
+        got = {frozenset(x) for x in zip(one.tolist(), two.tolist())}
+        count = len(found.words)
+        a, b = np.triu_indices(count, 1)
+        want = found.close(a, b, 50)
+        lead = {c: np.flatnonzero(classes == c)[0] for c in set(classes.tolist()) - {-1}}
+        stands = [lead.get(c, i) for i, c in enumerate(classes.tolist())]
+        assert want.any() and not want.all()
+        for x, y in zip(a[want].tolist(), b[want].tolist()):
+            assert {x, y} in got or stands[x] == stands[y] or {stands[x], stands[y]} in got
